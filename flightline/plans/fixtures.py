@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import number_rows
+from ..registry.commands import COMMAND_SCHEMA
 from ..settings import FieldOfView
 
 FRAME_NS = 16_666_667
@@ -130,3 +131,162 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings(spark, sf_dir).select(
         "run_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame_index")
     ).withColumn("timestamp_ns", F.col("frame_index") * FRAME_NS)
+
+
+# ---- registry commands derived from the events table -------------------------------------------
+
+BASE_NS = 1_000_000_000_000
+
+
+def _event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    n = F.col("event_id")
+    status_code = (k * 3 + cents) % 10
+    status = (
+        F.when(status_code < 2, "tentative")
+        .when(status_code < 7, "confirmed")
+        .when(status_code < 9, "occluded")
+        .otherwise("exited")
+    )
+    ts = F.lit(BASE_NS) + n * 1_000_000 - F.when(n % 60 == 59, 500_000_000_000).otherwise(0)
+    return table(spark, sf_dir, "events").select(
+        n.alias("n"),
+        F.col("user_id").cast("string").alias("run_id"),
+        (F.lit(1) + k % 7).alias("sequence"),
+        "event_type",
+        k.alias("k"),
+        cents.alias("cents"),
+        status.alias("status"),
+        ts.cast("bigint").alias("ts"),
+    )
+
+
+def _track_document(sequence: Column, status: Column) -> Column:
+    c = F.col
+    real = lambda v: F.lit(float(v))
+    x = c("cents") / 100.0
+    row = lambda *v: F.array(*[real(i) for i in v])
+    box = F.array(*[F.lit(v).cast("bigint") for v in (100, 100, 60, 60)])
+    ref = F.struct(c("run_id").alias("run_id"), sequence.cast("bigint").alias("sequence"))
+    detection = F.struct(
+        F.array(real(130), real(130)).alias("centroid_px"),
+        box.alias("bbox_px"),
+        F.lit(2800).cast("bigint").alias("area_px"),
+        real(0.9).alias("solidity"),
+        F.array(real(10), real(20), real(30)).alias("mean_bgr"),
+    )
+    seen = F.struct(
+        c("n").alias("frame_index"),
+        c("ts").alias("timestamp_ns"),
+        detection.alias("detection"),
+        F.array(x, real(-20)).alias("position_mm"),
+    )
+    return F.struct(
+        ref.alias("bean_ref"),
+        status.alias("status"),
+        c("ts").alias("timestamp_ns"),
+        F.array(x, real(-20), real(0), real(900)).alias("state"),
+        F.array(row(0.04, 0, 0, 0), row(0, 0.04, 0, 0), row(0, 0, 25, 0), row(0, 0, 0, 25)).alias(
+            "covariance"
+        ),
+        F.lit(2).cast("bigint").alias("hits"),
+        F.lit(0).cast("bigint").alias("misses"),
+        box.alias("last_bbox_px"),
+        F.array(seen).alias("history"),
+    )
+
+
+def _envelope(request_id: Column, operation: Column, payload: Column) -> Column:
+    return F.to_json(
+        F.struct(
+            F.lit(COMMAND_SCHEMA).alias("schema"),
+            request_id.alias("request_id"),
+            operation.alias("operation"),
+            payload.alias("payload"),
+        )
+    )
+
+
+def command_log(spark: SparkSession, sf_dir: str, *, batches: bool = False) -> DataFrame:
+    """``command_seq, value``: views and clicks move tracks, signups enrich, purchases decide,
+    errors acknowledge. Some commands repeat, reuse an event id or step back in time.
+
+    With ``batches``, clicks become two-bean frame batches and some ids cross beans.
+    """
+    c = F.col
+    events = _event_columns(spark, sf_dir)
+    owner = F.concat_ws("-", F.lit("reuse"), c("run_id"), c("sequence").cast("string"))
+    if batches:
+        owner = F.concat_ws("-", F.lit("reuse"), (c("n") % 97).cast("string"))
+    event_id = F.when(c("n") % 50 == 0, owner).otherwise(
+        F.concat(F.lit("e-"), c("n").cast("string"))
+    )
+    ref = F.struct(c("run_id"), c("sequence"))
+    track = _track_document(c("sequence"), c("status"))
+    update = F.struct(c("_id").alias("event_id"), track.alias("track"))
+    pair = F.struct(
+        F.array(
+            F.struct(c("_id").alias("event_id"), track.alias("track")),
+            F.struct(
+                F.concat(c("_id"), F.lit("b")).alias("event_id"),
+                _track_document(c("sequence") + 1, c("status")).alias("track"),
+            ),
+        ).alias("updates")
+    )
+    enrichment = F.struct(
+        c("_id").alias("event_id"),
+        ref.alias("bean_ref"),
+        F.struct(
+            F.lit("worker").alias("source"),
+            F.element_at(F.array(F.lit("defect"), F.lit("size"), F.lit("note")), (c("k") % 3 + 1).cast("int")).alias("kind"),
+            F.struct(c("cents").alias("cents")).alias("value"),
+            c("ts").alias("timestamp_ns"),
+            F.lit("v1").alias("version"),
+            F.concat(F.lit("r-"), c("run_id"), F.lit("-"), (c("k") % 5).cast("string")).alias("result_id"),
+            ((c("cents") % 120) / 100.0).alias("confidence"),
+        ).alias("enrichment"),
+    )
+    decision = F.struct(
+        c("_id").alias("event_id"),
+        ref.alias("bean_ref"),
+        F.struct(
+            F.concat(F.lit("d-"), c("run_id"), F.lit("-"), (c("k") % 4).cast("string")).alias("decision_id"),
+            F.lit("sorter").alias("source"),
+            c("ts").alias("timestamp_ns"),
+            (c("ts") + 55_000_000 - F.when(c("n") % 70 == 0, 60_000_000).otherwise(0)).alias("actuation_timestamp_ns"),
+            F.array((c("k") % 5).cast("int"), (c("cents") % 5 + 3).cast("int")).alias("gate_indices"),
+            F.lit("p1").alias("policy_version"),
+        ).alias("decision"),
+    )
+    acknowledge = F.struct(
+        c("_id").alias("event_id"),
+        ref.alias("bean_ref"),
+        F.concat(F.lit("d-"), c("run_id"), F.lit("-"), (c("k") % 4).cast("string")).alias("decision_id"),
+        (c("ts") + 60_000_000).alias("timestamp_ns"),
+    )
+    request = F.concat(F.lit("q-"), c("n").cast("string"))
+    kind = c("event_type")
+    click = (
+        _envelope(request, F.lit("update_tracks"), pair)
+        if batches
+        else _envelope(request, F.lit("update_track"), update)
+    )
+    value = (
+        F.when(kind == "click", click)
+        .when(kind == "view", _envelope(request, F.lit("update_track"), update))
+        .when(kind == "signup", _envelope(request, F.lit("add_enrichment"), enrichment))
+        .when(kind == "purchase", _envelope(request, F.lit("set_sorting_decision"), decision))
+        .otherwise(_envelope(request, F.lit("acknowledge_sorting_decision"), acknowledge))
+    )
+    # Copy 1 repeats a command verbatim, copy 2 repeats its content under a new event id.
+    copies = (
+        F.when(c("n") % 40 == 38, F.array(F.lit(0), F.lit(1)))
+        .when(c("n") % 40 == 18, F.array(F.lit(0), F.lit(2)))
+        .otherwise(F.array(F.lit(0)))
+    )
+    return (
+        events.withColumn("_copy", F.explode(copies))
+        .withColumn("_id", F.when(c("_copy") == 2, F.concat(event_id, F.lit("x"))).otherwise(event_id))
+        .select((c("n") * 3 + c("_copy")).cast("bigint").alias("command_seq"), value.alias("value"))
+    )

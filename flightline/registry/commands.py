@@ -1,7 +1,7 @@
 """Command log source: JSON envelopes to typed, statically validated command items.
 
 Every check that needs no registry state happens here in Catalyst. A frame batch becomes one item per
-bean; checks across the items of one batch run on its array, before it is exploded.
+bean; whether its items share an event id is looked up on the array, before it is exploded.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import STATUSES, is_blank
 from ..functions.mathx import is_finite
+from ..functions.once import evaluate_once
 from ..schemas import BEAN_REF_STRUCT, DECISION_DOC, PREDICTION_DOC, TRACK_DOC
 
 COMMAND_SCHEMA = "flightline-registry/v1"
@@ -66,7 +67,7 @@ def track_problem(track: Column) -> Column:
     return (
         F.when(track.isNull(), F.lit("track is required"))
         .when(
-            track["bean_ref.run_id"].isNull() | track["bean_ref.sequence"].isNull(),
+            track["bean_ref"]["run_id"].isNull() | track["bean_ref"]["sequence"].isNull(),
             F.lit("bean reference is incomplete"),
         )
         .when(
@@ -95,7 +96,7 @@ def _history_type() -> str:
 
 def prediction_problem(p: Column) -> Column:
     missing = (
-        p["bean_ref.run_id"].isNull() | p["bean_ref.sequence"].isNull() | p["gates"].isNull()
+        p["bean_ref"]["run_id"].isNull() | p["bean_ref"]["sequence"].isNull() | p["gates"].isNull()
         | p["selected_gate_indices"].isNull()
     )
     for name in ("line_y_mm", "crossing_timestamp_ns", "seconds_until_crossing", "x_mean_mm",
@@ -124,8 +125,8 @@ def track_violation(track: Column, prediction: Column) -> Column:
     latest = F.try_element_at(track["history"], F.lit(-1))
     finite = _all_finite(track["state"]) & F.forall(track["covariance"], _all_finite)
     seen = F.coalesce(
-        _all_finite(latest["position_mm"]) & _all_finite(latest["detection.centroid_px"])
-        & _all_finite(latest["detection.mean_bgr"]) & is_finite(latest["detection.solidity"]),
+        _all_finite(latest["position_mm"]) & _all_finite(latest["detection"]["centroid_px"])
+        & _all_finite(latest["detection"]["mean_bgr"]) & is_finite(latest["detection"]["solidity"]),
         F.lit(True),
     )
     numbers = F.array(
@@ -142,14 +143,14 @@ def track_violation(track: Column, prediction: Column) -> Column:
     )
     return (
         F.when(
-            is_blank(track["bean_ref.run_id"]) | (track["bean_ref.sequence"] <= 0),
+            is_blank(track["bean_ref"]["run_id"]) | (track["bean_ref"]["sequence"] <= 0),
             F.lit("a public run ID and a positive bean sequence are required"),
         )
         .when(
             prediction.isNotNull()
             & ~(
-                prediction["bean_ref.run_id"].eqNullSafe(track["bean_ref.run_id"])
-                & prediction["bean_ref.sequence"].eqNullSafe(track["bean_ref.sequence"])
+                prediction["bean_ref"]["run_id"].eqNullSafe(track["bean_ref"]["run_id"])
+                & prediction["bean_ref"]["sequence"].eqNullSafe(track["bean_ref"]["sequence"])
             ),
             F.lit("prediction belongs to a different bean"),
         )
@@ -187,105 +188,91 @@ def decision_violation(d: Column) -> Column:
     )
 
 
-def fingerprint(operation: str, value: Column) -> Column:
+def fingerprint(operation: str, *parts: Column) -> Column:
     """Digest of operation and canonical content; equal content gives equal digests."""
-    return F.sha2(F.concat(F.lit(operation), F.lit("\n"), F.to_json(value, {"ignoreNullFields": "false"})), 256)
-
-
-def _latest_only(track: Column) -> Column:
-    newest = F.slice(track["history"], -1, 1)
-    history = F.when(F.size(track["history"]) > 0, newest).otherwise(track["history"])
-    return track.withField("history", F.coalesce(history, F.array().cast(_history_type())))
+    text = F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat(F.lit(operation + "\n"), text), 256)
 
 
 def _or_default(value: Column, default: Column) -> Column:
     return F.when(value.isNull() | (value == ""), default).otherwise(value)
 
 
-def _item(**given: Column) -> Column:
-    blank = {
-        "op": "string", "run_id": "string", "sequence": "bigint", "event_id": "string",
-        "fingerprint": "string", "static_error": "string", "status": "string", "ts": "bigint",
-        "first_ts": "bigint", "part_id": "string", "part_hash": "string", "ack_ts": "bigint",
-        "track": TRACK_DOC, "prediction": PREDICTION_DOC, "enrichment": ENRICHMENT_DOC,
-        "decision": DECISION_DOC,
-    }
-    return F.struct(
-        *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in blank.items()]
+def _exploded(log: DataFrame) -> DataFrame:
+    """One row per command, or per update of a frame batch; envelope fields as plain columns."""
+    c = F.col
+    parsed = evaluate_once(log, c=F.from_json("value", ENVELOPE)).select("command_seq", "c")
+    op = c("c.operation")
+    single = F.struct(
+        c("c.payload.track").alias("track"),
+        c("c.payload.prediction").alias("prediction"),
+        c("c.payload.event_id").alias("event_id"),
     )
-
-
-def _track_item(track: Column, prediction: Column, event_id: Column) -> Column:
-    trimmed = _latest_only(track)
-    first = F.try_element_at(track["history"], F.lit(1))["timestamp_ns"]
-    return _item(
-        op=F.lit(UPDATE),
-        run_id=track["bean_ref.run_id"],
-        sequence=track["bean_ref.sequence"],
-        event_id=event_id,
-        fingerprint=fingerprint(
-            UPDATE, F.struct(trimmed.alias("track"), prediction.alias("prediction"))
+    updates = F.when(op.eqNullSafe(F.lit(UPDATES)), c("c.payload.updates")).otherwise(
+        F.array(single)
+    )
+    given = F.transform(updates, lambda u: u["event_id"])
+    rows = parsed.select(
+        "command_seq",
+        c("c").isNull().alias("unreadable"),
+        c("c.schema").alias("schema"),
+        F.coalesce(c("c.request_id"), F.lit("")).alias("request_id"),
+        F.coalesce(op, F.lit("")).alias("operation"),
+        op.eqNullSafe(F.lit(UPDATES)).alias("is_batch"),
+        F.coalesce(F.size(F.array_distinct(given)) < F.size(given), F.lit(False)).alias(
+            "repeats_id"
         ),
-        static_error=track_violation(track, prediction),
-        status=track["status"],
-        ts=track["timestamp_ns"],
-        first_ts=F.coalesce(first, track["timestamp_ns"]),
-        track=track,
-        prediction=prediction,
+        (op.eqNullSafe(F.lit(UPDATES)) & updates.isNull()).alias("no_updates"),
+        c("c.payload").isNull().alias("no_payload"),
+        c("c.payload.bean_ref").alias("bean_ref"),
+        c("c.payload.enrichment").alias("e"),
+        c("c.payload.decision").alias("d"),
+        c("c.payload.decision_id").alias("ack_decision_id"),
+        c("c.payload.timestamp_ns").alias("ack_ts_given"),
+        F.posexplode_outer(updates).alias("item_no", "u"),
     )
+    default_id = F.when(
+        c("is_batch"), F.concat_ws("#", c("request_id"), c("item_no").cast("string"))
+    ).otherwise(c("request_id"))
+    return rows.select(
+        "*",
+        c("u.track").alias("t"),
+        c("u.prediction").alias("p"),
+        _or_default(c("u.event_id"), default_id).alias("event_id"),
+    ).drop("u")
 
 
 def parse_commands(log: DataFrame) -> DataFrame:
-    """``command_seq, value`` (JSON text) to one row per command with ``problem`` and ``items``."""
+    """``command_seq, value`` (JSON text) to typed rows; ``problem`` marks undecodable ones."""
     c = F.col
-    parsed = log.withColumn("c", F.from_json("value", ENVELOPE)).select(
-        "command_seq",
-        c("c.schema").alias("schema"),
-        F.coalesce(c("c.request_id"), F.lit("")).alias("request_id"),
-        F.coalesce(c("c.operation"), F.lit("")).alias("operation"),
-        c("c.payload").alias("p"),
-        c("c").isNull().alias("unreadable"),
-    )
-    op, p = c("operation"), c("p")
-    event_id = _or_default(p["event_id"], c("request_id"))
-    enrichment = p["enrichment"].withField(
-        "result_id", _or_default(p["enrichment.result_id"], event_id)
-    ).withField("version", F.coalesce(p["enrichment.version"], F.lit("")))
-    decision = (
-        p["decision"]
-        .withField("decision_id", _or_default(p["decision.decision_id"], event_id))
-        .withField("policy_version", F.coalesce(p["decision.policy_version"], F.lit("")))
-        .withField("reason", F.coalesce(p["decision.reason"], F.lit("")))
-    )
-    no_ref = p["bean_ref.run_id"].isNull() | p["bean_ref.sequence"].isNull()
-    ref_problem = F.when(no_ref, F.lit("bean reference is incomplete"))
-    update_problem = lambda u: F.coalesce(
-        track_problem(u["track"]), prediction_problem(u["prediction"])
+    op = c("operation")
+    is_update = op.isin(UPDATE, UPDATES)
+    rows = _exploded(log)
+    bad_ref = F.when(
+        c("bean_ref").isNull() | c("bean_ref.run_id").isNull() | c("bean_ref.sequence").isNull(),
+        F.lit("bean reference is incomplete"),
     )
     content = (
-        F.when(op == UPDATE, F.coalesce(track_problem(p["track"]), prediction_problem(p["prediction"])))
-        .when(
-            op == UPDATES,
-            F.when(p["updates"].isNull(), F.lit("updates must be an array")).otherwise(
-                F.try_element_at(
-                    F.filter(F.transform(p["updates"], update_problem), lambda m: m.isNotNull()),
-                    F.lit(1),
-                )
+        F.when(
+            is_update,
+            F.when(c("no_updates"), F.lit("updates must be an array")).otherwise(
+                F.coalesce(track_problem(c("t")), prediction_problem(c("p")))
             ),
         )
-        .when(op == ENRICH, F.coalesce(ref_problem, enrichment_problem(p["enrichment"])))
-        .when(op == DECIDE, F.coalesce(ref_problem, decision_problem(p["decision"])))
+        .when(op == ENRICH, F.coalesce(bad_ref, enrichment_problem(c("e"))))
+        .when(op == DECIDE, F.coalesce(bad_ref, decision_problem(c("d"))))
         .when(
             op == ACKNOWLEDGE,
             F.coalesce(
-                ref_problem,
+                bad_ref,
                 F.when(
-                    p["decision_id"].isNull() | p["timestamp_ns"].isNull(),
+                    c("ack_decision_id").isNull() | c("ack_ts_given").isNull(),
                     F.lit("acknowledgement is malformed"),
                 ),
             ),
         )
     )
+    empty_batch = c("is_batch") & ~c("no_updates") & c("item_no").isNull()
     problem = (
         F.when(c("unreadable"), F.lit("command is not a JSON object"))
         .when(
@@ -294,106 +281,122 @@ def parse_commands(log: DataFrame) -> DataFrame:
         )
         .when(c("request_id") == "", F.lit("request_id is required"))
         .when(~op.isin(*WRITES, *READS), F.concat(F.lit("unknown registry operation: "), op))
-        .when(p.isNull() & op.isin(*WRITES), F.lit("payload must be an object"))
+        .when(c("no_payload") & op.isin(*WRITES), F.lit("payload must be an object"))
+        .when(empty_batch, F.lit(None).cast("string"))
         .otherwise(content)
     )
-    single = F.array
-    items = (
-        F.when(op == UPDATE, single(_track_item(p["track"], p["prediction"], event_id)))
-        .when(
-            op == UPDATES,
-            F.transform(
-                p["updates"],
-                lambda u, i: _track_item(
-                    u["track"], u["prediction"],
-                    _or_default(
-                        u["event_id"], F.concat_ws("#", c("request_id"), i.cast("string"))
-                    ),
-                ),
-            ),
-        )
-        .when(
-            op == ENRICH,
-            single(
-                _item(
-                    op=op, run_id=p["bean_ref.run_id"], sequence=p["bean_ref.sequence"],
-                    event_id=event_id, fingerprint=fingerprint(ENRICH, enrichment),
-                    static_error=enrichment_violation(p["enrichment"]),
-                    ts=enrichment["timestamp_ns"], part_id=enrichment["result_id"],
-                    part_hash=fingerprint("", enrichment), enrichment=enrichment,
-                )
-            ),
-        )
-        .when(
-            op == DECIDE,
-            single(
-                _item(
-                    op=op, run_id=p["bean_ref.run_id"], sequence=p["bean_ref.sequence"],
-                    event_id=event_id, fingerprint=fingerprint(DECIDE, decision),
-                    static_error=decision_violation(p["decision"]),
-                    ts=decision["timestamp_ns"], part_id=decision["decision_id"],
-                    part_hash=fingerprint(
-                        "", decision.withField("acknowledged_timestamp_ns", F.lit(None).cast("bigint"))
-                    ),
-                    ack_ts=decision["acknowledged_timestamp_ns"], decision=decision,
-                )
-            ),
-        )
-        .when(
-            op == ACKNOWLEDGE,
-            single(
-                _item(
-                    op=op, run_id=p["bean_ref.run_id"], sequence=p["bean_ref.sequence"],
-                    event_id=event_id,
-                    fingerprint=fingerprint(
-                        ACKNOWLEDGE, F.struct(p["decision_id"], p["timestamp_ns"])
-                    ),
-                    ts=p["timestamp_ns"], part_id=p["decision_id"],
-                )
-            ),
-        )
-    )
-    return parsed.withColumn("problem", problem).select(
-        "command_seq",
-        "request_id",
-        "operation",
-        "problem",
-        (op == UPDATES).alias("is_batch"),
-        F.when(c("problem").isNull() & op.isin(*WRITES), items).alias("items"),
+    violation = (
+        F.when(is_update, track_violation(c("t"), c("p")))
+        .when(op == ENRICH, enrichment_violation(c("e")))
+        .when(op == DECIDE, decision_violation(c("d")))
     )
+    return evaluate_once(evaluate_once(rows, problem=problem), _v=violation).withColumn(
+        "violation", F.when(c("problem").isNull(), c("_v"))
+    ).drop("_v")
 
 
 def command_errors(parsed: DataFrame) -> DataFrame:
-    """Commands that never reach the registry."""
-    return parsed.where(F.col("problem").isNotNull()).select(
-        "command_seq", "request_id", "operation",
-        F.lit(INVALID).alias("error_type"), F.col("problem").alias("error_message"),
+    """Commands that never reach the registry; one bad update spoils its whole frame batch."""
+    return (
+        parsed.where(F.col("problem").isNotNull())
+        .groupBy("command_seq", "request_id", "operation")
+        .agg(F.min_by("problem", F.coalesce("item_no", F.lit(0))).alias("error_message"))
+        .select(
+            "command_seq", "request_id", "operation",
+            F.lit(INVALID).alias("error_type"), "error_message",
+        )
     )
 
 
 def command_items(parsed: DataFrame) -> DataFrame:
-    """One row per bean command; batch-wide facts that need no state are already decided."""
-    same_id = lambda a, b: (a["event_id"] == b["event_id"]) & ~(
-        a["run_id"].eqNullSafe(b["run_id"]) & a["sequence"].eqNullSafe(b["sequence"])
-        & (a["fingerprint"] == b["fingerprint"])
+    """Bean commands for the fold. An undecodable update stays as a failing item of its batch."""
+    c = F.col
+    op = c("operation")
+    is_update = op.isin(UPDATE, UPDATES)
+    result_id = _or_default(c("e.result_id"), c("event_id"))
+    decision_id = _or_default(c("d.decision_id"), c("event_id"))
+    enrichment = F.struct(
+        c("e.source").alias("source"),
+        c("e.kind").alias("kind"),
+        F.to_json("e.value").alias("value_json"),
+        c("e.timestamp_ns").alias("timestamp_ns"),
+        F.coalesce(c("e.version"), F.lit("")).alias("version"),
+        result_id.alias("result_id"),
+        c("e.confidence").alias("confidence"),
     )
-    items = F.col("items")
-    clash = F.transform(
-        items,
-        lambda item, i: F.exists(
-            F.slice(items, F.lit(1), i), lambda earlier: same_id(earlier, item)
-        ),
+    decision = F.struct(
+        decision_id.alias("decision_id"),
+        c("d.source").alias("source"),
+        c("d.timestamp_ns").alias("timestamp_ns"),
+        c("d.actuation_timestamp_ns").alias("actuation_timestamp_ns"),
+        c("d.gate_indices").alias("gate_indices"),
+        F.coalesce(c("d.policy_version"), F.lit("")).alias("policy_version"),
+        F.coalesce(c("d.reason"), F.lit("")).alias("reason"),
+        c("d.acknowledged_timestamp_ns").alias("acknowledged_timestamp_ns"),
     )
-    return (
-        parsed.where(items.isNotNull() & (F.size(items) > 0))
-        .withColumn("_clash", F.when(F.col("is_batch"), clash))
-        .select("command_seq", "request_id", "is_batch", "_clash", F.posexplode("items").alias("item_no", "_item"))
-        .select(
-            "command_seq",
-            "item_no",
-            "request_id",
-            "is_batch",
-            F.coalesce(F.col("_clash")[F.col("item_no")], F.lit(False)).alias("batch_clash"),
-            "_item.*",
-        )
+    usable = parsed.where(
+        op.isin(*WRITES)
+        & c("item_no").isNotNull()
+        & (c("problem").isNull() | (c("is_batch") & (c("request_id") != "")))
+        & c("schema").eqNullSafe(F.lit(COMMAND_SCHEMA))
+    )
+    staged = usable.select(
+        "command_seq", "item_no", "request_id", "is_batch", "repeats_id", "event_id",
+        F.when(is_update, F.lit(UPDATE)).otherwise(op).alias("op"),
+        "problem",
+        F.coalesce("problem", "violation").alias("static_error"),
+        F.coalesce(F.when(is_update, c("t.bean_ref.run_id")), c("bean_ref.run_id"), F.lit("")).alias("run_id"),
+        F.coalesce(F.when(is_update, c("t.bean_ref.sequence")), c("bean_ref.sequence"), F.lit(0)).alias("sequence"),
+        c("t").alias("track"),
+        c("p").alias("prediction"),
+        F.when(op == ENRICH, enrichment).alias("enrichment"),
+        F.when(op == DECIDE, decision).alias("decision"),
+        "ack_decision_id",
+        "ack_ts_given",
+    )
+    t, d = c("track"), c("decision")
+    track_print = fingerprint(
+        UPDATE, t["bean_ref"], t["status"], t["timestamp_ns"], t["state"], t["covariance"],
+        t["hits"], t["misses"], t["last_bbox_px"], F.slice(t["history"], -1, 1), c("prediction"),
+    )
+    by_op = lambda update, enrich, decide, ack: (
+        F.when(c("op") == UPDATE, update)
+        .when(c("op") == ENRICH, enrich)
+        .when(c("op") == DECIDE, decide)
+        .otherwise(ack)
     )
+    none = F.lit(None)
+    return evaluate_once(
+        staged,
+        **{
+            "fingerprint": by_op(
+                track_print,
+                fingerprint(ENRICH, c("enrichment")),
+                fingerprint(DECIDE, d),
+                fingerprint(ACKNOWLEDGE, c("ack_decision_id"), c("ack_ts_given")),
+            ),
+            "status": t["status"],
+            "ts": by_op(
+                t["timestamp_ns"], c("enrichment.timestamp_ns"), d["timestamp_ns"],
+                c("ack_ts_given"),
+            ),
+            "first_ts": F.coalesce(
+                F.try_element_at(t["history"], F.lit(1))["timestamp_ns"], t["timestamp_ns"]
+            ),
+            "part_id": by_op(
+                none.cast("string"), c("enrichment.result_id"), d["decision_id"],
+                c("ack_decision_id"),
+            ),
+            "part_hash": by_op(
+                none.cast("string"),
+                fingerprint("", c("enrichment")),
+                fingerprint(
+                    "", d["decision_id"], d["source"], d["timestamp_ns"],
+                    d["actuation_timestamp_ns"], d["gate_indices"], d["policy_version"],
+                    d["reason"],
+                ),
+                none.cast("string"),
+            ),
+            "ack_ts": d["acknowledged_timestamp_ns"],
+        },
+    ).drop("ack_decision_id", "ack_ts_given")

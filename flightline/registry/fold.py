@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import CANCELLED, CONFIRMED, EXITED, TENTATIVE, TRANSITIONS
 from ..functions.prefix import number_rows
 from ..plans.durable import durable
-from .commands import ACKNOWLEDGE, CONFLICT, DECIDE, ENRICH, NOT_FOUND, STALE, UPDATE
+from .commands import ACKNOWLEDGE, CONFLICT, DECIDE, ENRICH, INVALID, NOT_FOUND, STALE, UPDATE
 
 APPLIED, DUPLICATE, NOOP, REJECTED, ROLLED_BACK = (
     "applied", "duplicate", "noop", "rejected", "rolled_back",
@@ -27,7 +27,7 @@ APPLIED, DUPLICATE, NOOP, REJECTED, ROLLED_BACK = (
 BEAN = ["run_id", "sequence"]
 _SLIM = (
     "run_id", "sequence", "command_seq", "item_no", "is_batch", "batch_failed", "batch_clash",
-    "foreign_claim", "op", "event_id", "fingerprint", "static_error", "status", "ts", "first_ts",
+    "foreign_claim", "op", "event_id", "fingerprint", "problem", "static_error", "status", "ts", "first_ts",
     "part_id", "part_hash", "ack_ts",
 )
 OUTCOME_FIELDS = (
@@ -38,6 +38,10 @@ _OUTCOME_ARROW = [
     (field.split()[0], {"string": pa.string(), "bigint": pa.int64()}[field.split()[1]])
     for field in OUTCOME_FIELDS.split(", ")
 ]
+_OUTCOME_NAMES = [name for name, _ in _OUTCOME_ARROW]
+_ITEM_COLUMNS = [
+    name for name in _SLIM if name not in ("batch_failed", "batch_clash", "foreign_claim")
+] + ["repeats_id"]
 REUSED_ID = "event ID was reused for a different registry command"
 
 
@@ -131,7 +135,8 @@ _STEPS = {UPDATE: _track, ENRICH: _enrich, DECIDE: _decide, ACKNOWLEDGE: _acknow
 def apply_command(state: BeanState, c: dict) -> tuple:
     """Advance ``state`` by one item; returns the outcome fields."""
     if c["static_error"] is not None:
-        result = (REJECTED, CONFLICT, c["static_error"], None)
+        kind = CONFLICT if c["problem"] is None else INVALID
+        result = (REJECTED, kind, c["static_error"], None)
     elif c["batch_clash"] or c["foreign_claim"]:
         result = (REJECTED, CONFLICT, REUSED_ID, None)
     elif c["event_id"] in state.seen:
@@ -185,9 +190,9 @@ def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             pa.array(column, kind)
             for column, (_, kind) in zip(zip(*outcomes), _OUTCOME_ARROW)
         ]
-        # Payload columns pass through untouched as Arrow buffers.
+        # The command columns pass through untouched as Arrow buffers.
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, *arrays], [*batch.schema.names, *[n for n, _ in _OUTCOME_ARROW]]
+            [*batch.columns, *arrays], [*batch.schema.names, *_OUTCOME_NAMES]
         )
 
 
@@ -213,6 +218,19 @@ def _shared_ids(items: DataFrame) -> DataFrame:
     )
 
 
+def _with_batch_clash(items: DataFrame) -> DataFrame:
+    """Mark batch items whose event id an earlier item of the same batch used differently."""
+    key = ["command_seq", "event_id"]
+    content = F.struct(*BEAN, "fingerprint")
+    doubtful = items.where(F.col("is_batch") & F.col("repeats_id"))
+    first = doubtful.groupBy(*key).agg(F.min_by(content, "item_no").alias("_owner"))
+    marked = doubtful.join(first, key).withColumn("batch_clash", content != F.col("_owner"))
+    plain = items.where(~(F.col("is_batch") & F.col("repeats_id"))).withColumn(
+        "batch_clash", F.lit(False)
+    )
+    return plain.unionByName(marked.drop("_owner")).drop("repeats_id")
+
+
 def _verdicts(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Failed batches, and the owner of every event id that several beans use."""
     failed = (
@@ -251,23 +269,18 @@ def _flagged(items: DataFrame, failed: DataFrame, claims: DataFrame) -> DataFram
 def fold_commands(items: DataFrame) -> DataFrame:
     """Outcome of every command item, as if all commands had run one after the other.
 
-    Variant payloads travel as JSON text, because Arrow batches cannot carry VARIANT columns.
+    The iteration only moves the narrow columns the rules look at; payloads stay in one written
+    table and meet their outcome in a single join at the end.
     """
-    carried = items.withColumns(
-        {
-            "enrichment": F.when(
-                F.col("enrichment").isNotNull(),
-                F.col("enrichment")
-                .withField("value_json", F.to_json("enrichment.value"))
-                .dropFields("value"),
-            ),
-        }
-    )
-    shared = _shared_ids(carried).withColumn("_shared", F.lit(True))
+    items = durable(items)
+    slim = items.select(*_ITEM_COLUMNS)
+    shared = _shared_ids(slim).withColumn("_shared", F.lit(True))
     carried = durable(
-        carried.join(shared, "event_id", "left")
-        .withColumn("is_shared_id", F.coalesce("_shared", F.lit(False)))
-        .drop("_shared")
+        _with_batch_clash(
+            slim.join(shared, "event_id", "left")
+            .withColumn("is_shared_id", F.coalesce("_shared", F.lit(False)))
+            .drop("_shared")
+        )
     )
     static = carried.where(
         F.col("is_batch") & (F.col("static_error").isNotNull() | F.col("batch_clash"))
@@ -294,7 +307,10 @@ def fold_commands(items: DataFrame) -> DataFrame:
         )
         failed, claims = now_failed, now_claims
         if touched.isEmpty():
-            return _settle_batches(folded)
+            settled = _settle_batches(folded).select("command_seq", "item_no", *_OUTCOME_NAMES)
+            return items.drop("repeats_id", "problem", "static_error").join(
+                settled, ["command_seq", "item_no"]
+            )
         again = _fold_once(_flagged(carried.join(touched, BEAN, "left_semi"), failed, claims))
         folded = durable(folded.join(touched, BEAN, "left_anti").unionByName(again))
 
@@ -315,9 +331,7 @@ def _settle_batches(folded: DataFrame) -> DataFrame:
     settled = batches.withColumns(
         {**clear, "outcome": F.when(rolled, F.lit(ROLLED_BACK)).otherwise(F.col("outcome"))}
     ).drop("_first")
-    return folded.where("NOT is_batch").unionByName(settled.select(*folded.columns)).drop(
-        "batch_failed", "batch_clash", "foreign_claim", "is_shared_id"
-    )
+    return folded.where("NOT is_batch").unionByName(settled.select(*folded.columns))
 
 
 def journal(folded: DataFrame, block_width: int = 65_536) -> DataFrame:
