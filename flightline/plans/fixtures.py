@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import inverse
 from ..functions.prefix import number_rows
 from ..registry.commands import COMMAND_SCHEMA
 from ..settings import FieldOfView
+from ..sources.recordings import explode_range
 
 FRAME_NS = 16_666_667
 # Fixed values of the synthetic camera: pixels per millimetre and the pixel centre.
@@ -128,9 +130,10 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings(spark, sf_dir).select(
-        "run_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame_index")
-    ).withColumn("timestamp_ns", F.col("frame_index") * FRAME_NS)
+    spans = recordings(spark, sf_dir)
+    return explode_range(spans, "first_frame", F.col("last_frame"), "frame_index").select(
+        "run_id", "frame_index", (F.col("frame_index") * FRAME_NS).alias("timestamp_ns")
+    )
 
 
 # ---- registry commands derived from the events table -------------------------------------------
@@ -290,3 +293,42 @@ def command_log(spark: SparkSession, sf_dir: str, *, batches: bool = False) -> D
         .withColumn("_id", F.when(c("_copy") == 2, F.concat(event_id, F.lit("x"))).otherwise(event_id))
         .select((c("n") * 3 + c("_copy")).cast("bigint").alias("command_seq"), value.alias("value"))
     )
+
+
+# ---- calibrations derived from the supplier table ----------------------------------------------
+
+
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slightly rotated, slightly tilted camera per run; ``mm_to_px`` is the truth."""
+    k = (F.col("s_suppkey") % 7 - 3).cast("double")
+    forward = F.array(
+        F.lit(SCALE_X), k * 0.02, k + CENTRE_X,
+        k * -0.02, F.lit(SCALE_Y), F.lit(CENTRE_Y) - k,
+        k * 1e-5, F.lit(0.0), F.lit(1.0),
+    )
+    return (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").cast("string").alias("run_id"), forward.alias("mm_to_px"))
+        .withColumn("px_to_mm", inverse(F.col("mm_to_px")))
+        .withColumn("rms_error_mm", F.lit(0.039))
+    )
+
+
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamp rows per run in file order; every 7th run has a bad pair, every 11th is short."""
+    run = F.col("run_id").cast("bigint")
+    rows = recordings(spark, sf_dir).select(
+        "run_id",
+        F.col("last_frame").alias("_last"),
+        F.when(run % 11 == 0, 1).otherwise(0).alias("_short"),
+    )
+    return explode_range(
+        rows.withColumn("_from", F.lit(0).cast("long")), "_from",
+        F.col("_last") - F.col("_short"), "line_no",
+    ).select(
+        "run_id",
+        "line_no",
+        F.when(
+            (run % 7 == 0) & (F.col("line_no") == 10), F.lit(5 * FRAME_NS)
+        ).otherwise(F.col("line_no") * FRAME_NS).cast("string").alias("left_timestamp_ns"),
+    )
