@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import project
 from ..functions.labels import TERMINAL, gate_label
 from ..functions.mathx import half_even, is_finite, norm_cdf_z
+from ..functions.once import evaluate_once
 from ..settings import FieldOfView, GateLayout, TrackerSettings
 from .kernel import BIRTH_VELOCITY_SIGMA
 
@@ -159,17 +160,12 @@ def with_gates(crossed: DataFrame, layout: GateLayout) -> DataFrame:
         )
 
     threshold = F.lit(layout.actuation_probability_threshold)
-    return (
-        crossed.withColumn("_cdf", cdf)
-        .withColumn("gates", F.transform(bank, gate))
-        .drop("_cdf")
-        .withColumn(
-            "selected_gate_indices",
-            F.transform(
-                F.filter("gates", lambda g: g["probability"] >= threshold), lambda g: g["index"]
-            ),
-        )
+    selected = F.transform(
+        F.filter("gates", lambda g: g["probability"] >= threshold), lambda g: g["index"]
     )
+    # Lambdas re-evaluate whatever they capture, so each array is finished before the next uses it.
+    banked = evaluate_once(evaluate_once(crossed, _cdf=cdf), gates=F.transform(bank, gate))
+    return evaluate_once(banked, selected_gate_indices=selected).drop("_cdf")
 
 
 def predict(
