@@ -332,3 +332,77 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
             (run % 7 == 0) & (F.col("line_no") == 10), F.lit(5 * FRAME_NS)
         ).otherwise(F.col("line_no") * FRAME_NS).cast("string").alias("left_timestamp_ns"),
     )
+
+
+def calibration_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hole-plate document per supplier, its pixel points made with the true mapping."""
+    pitch = 9.16
+    k = (F.col("s_suppkey") % 7 - 3).cast("double")
+
+    def point(row: Column, col: Column) -> Column:
+        x, y = col * pitch - 5 * pitch, row * pitch - 4 * pitch
+        w = k * 1e-5 * x + 1.0
+        return F.array(
+            (x * SCALE_X + k * 0.02 * y + k + CENTRE_X) / w,
+            (k * -0.02 * x + y * SCALE_Y + (F.lit(CENTRE_Y) - k)) / w,
+        )
+
+    rows, cols = F.sequence(F.lit(0), F.lit(8)), F.sequence(F.lit(0), F.lit(10))
+    points = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: point(r, c))))
+    document = F.struct(
+        F.lit("pinkplane-homography/v2").alias("schema"),
+        F.struct(F.lit("undistorted").alias("coordinate_domain")).alias("mapping"),
+        F.struct(
+            F.array_repeat(F.lit(11), 9).alias("row_counts"), points.alias("mean_CamL_points_px")
+        ).alias("correspondence"),
+    )
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("calibration_id"),
+        F.to_json(document).alias("value"),
+    )
+
+
+# ---- small raw frames drawn from the part table ------------------------------------------------
+
+IMAGE_W, IMAGE_H = 64, 96
+GROUND, OBJECT = "(", "x"  # pixel values 40 and 120
+
+
+def _band(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Half an image of ground with one rectangle, as text of one byte per channel."""
+    size = lambda n: (n * 3).cast("int")
+    ground, painted = F.lit(GROUND), F.lit(OBJECT)
+    blank = F.repeat(ground, F.lit(IMAGE_W * 3))
+    line = F.concat(
+        F.repeat(ground, size(x)), F.repeat(painted, size(w)),
+        F.repeat(ground, size(F.lit(IMAGE_W) - x - w)),
+    )
+    return F.concat(
+        F.repeat(blank, y.cast("int")), F.repeat(line, h.cast("int")),
+        F.repeat(blank, (F.lit(IMAGE_H // 2) - y - h).cast("int")),
+    )
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten 64x96 frames per run with two even-aligned rectangles each."""
+    p = F.col("p_partkey")
+    upper = _band(p % 11 * 2 + 4, p % 7 * 2 + 4, p % 5 * 2 + 12, p % 3 * 2 + 12)
+    lower = _band(p % 13 * 2 + 2, p % 6 * 2 + 6, p % 4 * 2 + 16, p % 2 * 2 + 10)
+    return table(spark, sf_dir, "part").select(
+        F.floor(p / 10).cast("string").alias("run_id"),
+        (p % 10).cast("bigint").alias("frame_index"),
+        F.lit(IMAGE_H).alias("height"),
+        F.lit(IMAGE_W).alias("width"),
+        F.concat(upper, lower).cast("binary").alias("bgr"),
+    )
+
+
+def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ground = F.repeat(F.lit(GROUND), F.lit(IMAGE_W * IMAGE_H * 3)).cast("binary")
+    runs = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 10).cast("string").alias("run_id")
+    ).distinct()
+    return runs.select(
+        "run_id", F.lit(IMAGE_H).alias("height"), F.lit(IMAGE_W).alias("width"),
+        ground.alias("bgr"),
+    )

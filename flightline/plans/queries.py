@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import measurement_covariance, project
 from ..functions.labels import bean_label
-from ..operators import analytics, assignment, labelled, lifecycle, matching, prediction, segments
+from ..operators import (
+    analytics,
+    assignment,
+    background,
+    calibration,
+    detection,
+    labelled,
+    lifecycle,
+    matching,
+    prediction,
+    segments,
+)
 from ..operators.tracking import Tracking, edge_reason, outside_birth_zone, track
 from ..registry import commands, fold, queries as ask, tables as reg
-from ..settings import GateLayout, TrackerSettings, sorting_line_y
+from ..settings import DetectorSettings, GateLayout, TrackerSettings, sorting_line_y
+from ..sources import export
 from ..sources import recordings as rec
 from . import fixtures as fx
 
@@ -472,3 +484,107 @@ def latency_summary(spark, sf):
         F.col("user_id").cast("string").alias("run_id"), F.col("value").alias("processing_ms")
     )
     return analytics.latency_summary(frames, ["run_id"]).withColumn("mean_ms", q("mean_ms", 6))
+
+
+# ---- calibration, background, detection, export -------------------------------------------------
+
+DETECTOR = DetectorSettings(
+    blur_kernel=1, close_iterations=0, min_area_px=150, max_area_px=450, min_width_px=10,
+    max_width_px=40, min_height_px=10, max_height_px=40,
+)
+
+
+def _fitted(spark, sf):
+    documents = calibration.check_documents(fx.calibration_documents(spark, sf))
+    return calibration.fit_homographies(calibration.grid_points(documents))
+
+
+@query
+def homography_fit(spark, sf):
+    m = F.col("px_to_mm")
+    return _fitted(spark, sf).select(
+        "calibration_id", *[q(m[i], 6).alias(f"m{i}") for i in range(8)],
+        q("top_y_mm", 5).alias("top_y_mm"), q("bottom_y_mm", 5).alias("bottom_y_mm"),
+    )
+
+
+@query
+def fit_quality(spark, sf):
+    return _fitted(spark, sf).select(
+        "calibration_id", q("rms_error_mm", 6).alias("rms_error_mm"),
+        q("max_error_mm", 6).alias("max_error_mm"),
+    )
+
+
+@query
+def calibration_export(spark, sf):
+    return calibration.metric_documents(_fitted(spark, sf)).select(
+        "calibration_id", F.get_json_object("document", "$.schema").alias("schema"),
+        F.get_json_object("document", "$.image_size_px[0]").cast("int").alias("width"),
+    )
+
+
+@query
+def stratified_candidates(spark, sf):
+    return background.stratified_candidates(_recordings(spark, sf), 11, seed=12345)
+
+
+@query
+def stratified_coverage(spark, sf):
+    drawn = background.stratified_candidates(_recordings(spark, sf), 11, seed=12345)
+    inside = (F.col("frame_index") * 11 >= F.col("stratum") * F.col("frame_count") - 10) & (
+        F.col("frame_index") < F.col("frame_count")
+    )
+    return (
+        drawn.join(_recordings(spark, sf), "run_id").groupBy("run_id", "pass_no")
+        .agg(
+            F.count_distinct("stratum").alias("strata"),
+            F.count_distinct("frame_index").alias("candidates"), F.bool_and(inside).alias("inside"),
+        )
+    )
+
+
+@query
+def background_median(spark, sf):
+    return background.temporal_median(fx.frames(spark, sf)).select(
+        "run_id", "height", "width", F.md5("bgr").alias("digest")
+    )
+
+
+@query
+def frame_detections(spark, sf):
+    parts = detection.detect_components(fx.frames(spark, sf), fx.backgrounds(spark, sf), DETECTOR)
+    return detection.detections(parts, DETECTOR).select(
+        "run_id", "frame_index", "det_ord", q("cx_px", 6).alias("cx_px"),
+        q("cy_px", 6).alias("cy_px"), "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px",
+        q("solidity", 6).alias("solidity"), q("blue", 6).alias("mean_blue"),
+    )
+
+
+@query
+def frame_verdicts(spark, sf):
+    parts = detection.detect_components(fx.frames(spark, sf), fx.backgrounds(spark, sf), DETECTOR)
+    return detection.frame_verdicts(detection.classify(parts, DETECTOR))
+
+
+@query
+def detection_stages(spark, sf):
+    stages = detection.explain_stages(fx.frames(spark, sf), fx.backgrounds(spark, sf), DETECTOR)
+    return stages.select(
+        "run_id", "frame_index", "stage_no", "stage_key",
+        F.array_join("settings", "; ").alias("settings"), "height", "width", "channels",
+        F.md5("image").alias("digest"),
+    )
+
+
+@query
+def run_export(spark, sf):
+    """Frame documents of every run, as the export sink writes them."""
+    result = tracked(spark, sf)
+    found = prediction.predict(result.snapshots, LAYOUT, SETTINGS)
+    nested = export.frame_documents(
+        fx.timeline(spark, sf), result.snapshots, found, result.rejections
+    )
+    return export.frame_json(nested).select(
+        "run_id", "frame_index", F.length("document").alias("characters")
+    )
