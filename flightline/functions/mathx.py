@@ -76,4 +76,5 @@ def half_even(value: Column) -> Column:
 
 
 def is_finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(math.inf))
+    """True for ordinary numbers; NaN sorts above infinity in Spark, so one comparison decides."""
+    return F.coalesce(F.abs(value) < F.lit(math.inf), F.lit(False))

@@ -43,10 +43,9 @@ def number_rows(
     ``dense`` numbers distinct order values instead of rows.
     """
     lead = block_column or order[0]
-    blocked = df.withColumn("_block", block_of(F.col(lead), block_width)).repartition(
-        *[F.col(k) for k in keys], F.col("_block")
-    )
+    blocked = df.withColumn("_block", block_of(F.col(lead), block_width))
     group = [*keys, "_block"]
+    # Counted ahead of the exchange: only partial counts per block are shuffled for the totals.
     totals = blocked.groupBy(*group).agg(
         (F.countDistinct(*order) if dense else F.count(F.lit(1))).alias("_n")
     )

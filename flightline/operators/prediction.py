@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import project
 from ..functions.labels import TERMINAL, gate_label
-from ..functions.mathx import half_even, is_finite, norm_cdf_z
+from ..functions.mathx import half_even, norm_cdf_z
 from ..functions.once import evaluate_once
 from ..settings import FieldOfView, GateLayout, TrackerSettings
 from .kernel import BIRTH_VELOCITY_SIGMA
@@ -70,10 +70,9 @@ def crossing_time(y: Column, vy: Column, line_y: Column, gravity: float) -> Colu
     if gravity <= 0:
         ahead = F.when(vy > 0, distance / vy)
     else:
-        root = vy * vy + F.lit(2.0 * gravity) * distance
-        ahead = F.when(root >= 0, (F.sqrt(root) - vy) / F.lit(gravity))
-    usable = F.when(is_finite(ahead) & (ahead >= 0), ahead)
-    return F.when(distance <= 0, F.lit(0.0)).otherwise(usable)
+        # A positive distance makes the root positive; NaN compares above infinity and drops out.
+        ahead = (F.sqrt(vy * vy + F.lit(2.0 * gravity) * distance) - vy) / F.lit(gravity)
+    return F.when(distance <= 0, F.lit(0.0)).when(ahead < F.lit(math.inf), ahead)
 
 
 def crossings(
@@ -145,27 +144,33 @@ def gate_bank(layout: GateLayout) -> Column:
 def with_gates(crossed: DataFrame, layout: GateLayout) -> DataFrame:
     """Nested gate probabilities and the indices at or above the actuation threshold."""
     scale = F.col("x_std_mm") * F.lit(math.sqrt(2.0))
-    edges = F.array(*[F.lit(edge) for edge in gate_edges(layout)])
-    z = F.transform(edges, lambda edge: (edge - F.col("x_mean_mm")) / scale)
-    cdf = F.transform(z, norm_cdf_z)
-    bank = gate_bank(layout)
-
-    def gate(item: Column, position: Column) -> Column:
-        mass = F.col("_cdf")[position + 1] - F.col("_cdf")[position]
-        return F.struct(
-            item["index"].alias("index"),
-            item["left_mm"].alias("left_mm"),
-            item["right_mm"].alias("right_mm"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), mass)).alias("probability"),
-        )
-
+    edges, radius = gate_edges(layout), layout.gate_count // 2
+    # Unrolled on purpose: plain columns are compiled, lambdas over arrays are interpreted.
+    keep = crossed.columns
+    z = crossed.select(
+        *keep,
+        *[((F.lit(e) - F.col("x_mean_mm")) / scale).alias(f"_z{i}") for i, e in enumerate(edges)],
+    )
+    cdf = z.select(*keep, *[norm_cdf_z(F.col(f"_z{i}")).alias(f"_c{i}") for i in range(len(edges))])
+    gates = F.array(
+        *[
+            F.struct(
+                F.lit(i - radius).alias("index"),
+                F.lit(edges[i]).alias("left_mm"),
+                F.lit(edges[i + 1]).alias("right_mm"),
+                F.greatest(
+                    F.lit(0.0), F.least(F.lit(1.0), F.col(f"_c{i + 1}") - F.col(f"_c{i}"))
+                ).alias("probability"),
+            )
+            for i in range(layout.gate_count)
+        ]
+    )
     threshold = F.lit(layout.actuation_probability_threshold)
     selected = F.transform(
         F.filter("gates", lambda g: g["probability"] >= threshold), lambda g: g["index"]
     )
-    # Lambdas re-evaluate whatever they capture, so each array is finished before the next uses it.
-    banked = evaluate_once(evaluate_once(crossed, _cdf=cdf), gates=F.transform(bank, gate))
-    return evaluate_once(banked, selected_gate_indices=selected).drop("_cdf")
+    banked = evaluate_once(cdf, gates=gates).select(*keep, "gates")
+    return evaluate_once(banked, selected_gate_indices=selected)
 
 
 def predict(

@@ -60,35 +60,31 @@ def _noise(multiplier: int, step: int) -> Column:
 def labelled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy observations of falling objects plus clutter; ``truth_no`` names the true object."""
     first = F.ceil((F.col("release_s") + 0.06386) * 60.0).cast("long")
+    # Steps 0..5 are the frames of the fall, step 6 is a possible stray reflection in frame 0.
+    stray = F.col("step") == 6
     frames = (
         _flights(spark, sf_dir)
         .withColumn("first_frame", first)
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(5))))
-        .withColumn("frame_index", F.col("first_frame") + F.col("step"))
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(6))))
+        .withColumn("frame_index", F.col("first_frame") + F.when(stray, 0).otherwise(F.col("step")))
     )
     fall = F.col("frame_index") / 60.0 - F.col("release_s")
     seen = (F.col("frame_index") <= (F.col("release_s") + 0.13844) * 60.0) & (
         (F.col("l_partkey") + F.col("frame_index")) % 29 != 0
     )
-    stray = (F.col("l_partkey") % 17 == 0) & (F.col("step") == 0)
-    real = F.struct(
-        F.col("truth_no").alias("truth_no"),
-        (F.col("x0_mm") + F.col("vx") * fall + _noise(31, 17)).alias("x_mm"),
-        (F.lit(-57.0) + F.lit(4905.0) * fall * fall + _noise(13, 29)).alias("y_mm"),
-    )
-    clutter = F.struct(
-        (-F.col("truth_no")).alias("truth_no"),
-        (-F.col("x0_mm") * 0.5).alias("x_mm"),
-        F.when(F.col("l_partkey") % 2 == 0, F.lit(-30.0)).otherwise(F.lit(5.0)).alias("y_mm"),
-    )
-    # One pass: every frame row yields its real observation, its clutter, both or neither.
-    candidates = F.filter(
-        F.array(F.when(seen, real), F.when(stray, clutter)), lambda item: item.isNotNull()
-    )
+    kept = frames.where(F.when(stray, F.col("l_partkey") % 17 == 0).otherwise(seen))
+    x = F.col("x0_mm") + F.col("vx") * fall + _noise(31, 17)
+    y = F.lit(-57.0) + F.lit(4905.0) * fall * fall + _noise(13, 29)
+    stray_y = F.when(F.col("l_partkey") % 2 == 0, F.lit(-30.0)).otherwise(F.lit(5.0))
     area = (F.lit(2000) + F.col("price") % 3000).cast("long")
-    flat = frames.select(
-        "run_id", "frame_index", area.alias("area_px"), F.explode(candidates).alias("o")
-    ).select("run_id", "frame_index", "area_px", "o.*")
+    flat = kept.select(
+        "run_id",
+        F.when(stray, -F.col("truth_no")).otherwise(F.col("truth_no")).alias("truth_no"),
+        "frame_index",
+        area.alias("area_px"),
+        F.when(stray, -F.col("x0_mm") * 0.5).otherwise(x).alias("x_mm"),
+        F.when(stray, stray_y).otherwise(y).alias("y_mm"),
+    )
     cx = F.lit(CENTRE_X) + F.col("x_mm") * SCALE_X
     cy = F.lit(CENTRE_Y) + F.col("y_mm") * SCALE_Y
     return flat.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,7 @@ from ..settings import DetectorSettings, GateLayout, TrackerSettings, sorting_li
 from ..sources import export
 from ..sources import recordings as rec
 from . import fixtures as fx
+from .session import tune
 
 SETTINGS = TrackerSettings()
 LAYOUT = GateLayout(fx.SORTING_LINE_MM)
@@ -35,7 +37,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    @functools.wraps(build)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(tune(spark), sf_dir)
+
+    QUERIES[build.__name__] = run
     return build
 
 

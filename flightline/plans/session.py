@@ -1,0 +1,11 @@
+"""Session settings the generated code profits from."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The JVM never compiles methods above 8000 bytecodes; have Spark split them instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
