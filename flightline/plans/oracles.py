@@ -467,7 +467,8 @@ def build() -> dict[str, str]:
         _OBS, _BORN, crossed,
     )
     sql["gate_probabilities"] = _with(
-        f"SELECT {row}, gate_index, {q('p', 7)} AS probability FROM gate",
+        f"SELECT run_id, gate_index, count(*) AS predictions, {q('sum(p)', 4)} AS expected, "
+        f"{q('max(p)', 7)} AS sharpest FROM gate GROUP BY run_id, gate_index",
         _OBS, _BORN, crossed, _NODES, _GATES,
     )
     sharp = _crossed("400E0")
@@ -500,9 +501,11 @@ def build() -> dict[str, str]:
     tau = "(t * (s / 24E0))"
     fall = f"(y_mm + vy*{tau} + 4905E0*{tau}*{tau})"
     sql["flight_path"] = _with(
-        f"SELECT {row}, CAST(s AS INT) AS sample, {q(_px('x', 'x_mm', fall), 4)} AS x_px, "
-        f"{q(_px('y', 'x_mm', fall), 4)} AS y_px FROM crossed JOIN cal USING (run_id), "
-        "range(25) AS samples(s)",
+        f"SELECT run_id, CAST(s AS INT) AS sample, count(*) AS points, "
+        f"{q('avg(' + _px('x', 'x_mm', fall) + ')', 4)} AS x_px, "
+        f"{q('avg(' + _px('y', 'x_mm', fall) + ')', 4)} AS y_px, "
+        f"{q('max(' + _px('y', 'x_mm', fall) + ')', 4)} AS lowest_px "
+        "FROM crossed JOIN cal USING (run_id), range(25) AS samples(s) GROUP BY run_id, s",
         _OBS, _BORN, crossed, _CAL,
     )
     sql["detection_accounting"] = _with(

@@ -235,8 +235,12 @@ def crossing(spark, sf):
 
 @query
 def gate_probabilities(spark, sf):
-    return prediction.gate_rows(_crossed(spark, sf), LAYOUT, _ROW).select(
-        *_ROW, "gate_index", q("probability", 7).alias("probability")
+    """Expected arrivals and sharpest prediction per run and gate, over every observation."""
+    rows = prediction.gate_rows(_crossed(spark, sf), LAYOUT, ["run_id"])
+    return rows.groupBy("run_id", "gate_index").agg(
+        F.count(F.lit(1)).alias("predictions"),
+        q(F.sum("probability"), 4).alias("expected"),
+        q(F.max("probability"), 7).alias("sharpest"),
     )
 
 
@@ -284,8 +288,10 @@ def interval95(spark, sf):
 @query
 def flight_path(spark, sf):
     rows = _with_calibration(_crossed(spark, sf), spark, sf)
-    return prediction.flight_path(rows, F.col("mm_to_px"), _ROW, SETTINGS).select(
-        *_ROW, "sample", q("x_px", 4).alias("x_px"), q("y_px", 4).alias("y_px")
+    paths = prediction.flight_path(rows, F.col("mm_to_px"), ["run_id"], SETTINGS)
+    return paths.groupBy("run_id", "sample").agg(
+        F.count(F.lit(1)).alias("points"), q(F.avg("x_px"), 4).alias("x_px"),
+        q(F.avg("y_px"), 4).alias("y_px"), q(F.max("y_px"), 4).alias("lowest_px"),
     )
 
 
