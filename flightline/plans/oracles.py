@@ -510,7 +510,7 @@ def build() -> dict[str, str]:
     )
     sql["detection_accounting"] = _with(
         "SELECT run_id, frame_index, count(*) AS detections, min(det_ord) AS first_det, "
-        f"max(det_ord) AS last_det, {q('sum(y_mm)', 5)} AS sum_y_mm FROM seen "
+        "max(det_ord) AS last_det, min(y_mm) AS top_y_mm, max(y_mm) AS low_y_mm FROM seen "
         "GROUP BY run_id, frame_index",
         _OBS,
     )

@@ -329,7 +329,8 @@ def detection_accounting(spark, sf):
     )
     return used.groupBy("run_id", "frame_index").agg(
         F.count(F.lit(1)).alias("detections"), F.min("det_ord").alias("first_det"),
-        F.max("det_ord").alias("last_det"), q(F.sum("obs_y_mm"), 5).alias("sum_y_mm"),
+        F.max("det_ord").alias("last_det"), F.min("obs_y_mm").alias("top_y_mm"),
+        F.max("obs_y_mm").alias("low_y_mm"),
     )
 
 
