@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..sources.recordings import explode_range
 
 TILE_ROWS = 64
@@ -132,7 +133,8 @@ def temporal_median(selected: DataFrame) -> DataFrame:
         )
     )
     medians = (
-        cut.repartition("run_id", "tile").sortWithinPartitions("run_id", "tile", "height", "width")
+        spread(cut, "run_id", "tile")
+        .sortWithinPartitions("run_id", "tile", "height", "width")
         .mapInArrow(
             _median_rows, "run_id string, tile int, height int, width int, data binary"
         )

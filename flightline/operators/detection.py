@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import half_even
 from ..functions.prefix import block_of
+from ..functions.spread import spread
 from ..settings import DetectorSettings
 from . import imaging
 
@@ -194,11 +195,8 @@ def _with_background(frames: DataFrame, backgrounds: DataFrame, block_frames: in
     blocked = frames.withColumn("_block", block_of(F.col("frame_index"), block_frames))
     wanted = blocked.select("run_id", "_block").distinct()
     copies = backgrounds.join(wanted, "run_id").withColumn("frame_index", F.lit(-1).cast("long"))
-    return (
-        blocked.select(*columns).unionByName(copies.select(*columns))
-        .repartition("run_id", "_block")
-        .sortWithinPartitions("run_id", "_block", "frame_index")
-    )
+    rows = blocked.select(*columns).unionByName(copies.select(*columns))
+    return spread(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "frame_index")
 
 
 def detect_components(

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.spread import spread
 from ..settings import FieldOfView, TrackerSettings
 from .kernel import FrameTracker
 
@@ -58,8 +59,7 @@ def filter_labelled(
                 )
 
     return (
-        labelled.select(*_COLUMNS)
-        .repartition("run_id", "label")
+        spread(labelled.select(*_COLUMNS), "run_id", "label")
         .sortWithinPartitions("run_id", "label", "frame_index")
         .mapInArrow(run, _SCHEMA)
     )

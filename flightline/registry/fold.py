@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CANCELLED, CONFIRMED, EXITED, TENTATIVE, TRANSITIONS
 from ..functions.prefix import number_rows
+from ..functions.spread import spread
 from ..plans.durable import durable
 from .commands import ACKNOWLEDGE, CONFLICT, DECIDE, ENRICH, INVALID, NOT_FOUND, STALE, UPDATE
 
@@ -202,7 +203,7 @@ def _ddl(df: DataFrame) -> str:
 
 def _fold_once(items: DataFrame) -> DataFrame:
     return (
-        items.repartition(*BEAN)
+        spread(items, *BEAN)
         .sortWithinPartitions(*BEAN, "command_seq", "item_no")
         .mapInArrow(_fold_partition, f"{_ddl(items)}, {OUTCOME_FIELDS}")
     )
