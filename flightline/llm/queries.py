@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import language, packing, pieces, urls
+from flightline.llm import language, packing, pieces, quality, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -36,6 +36,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(
+        read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+        read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]),
+    )
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     both = pieces.decode_documents(pieces.encode_documents(docs, PIECE_BPE), PIECE_BPE)
@@ -63,6 +70,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op5_pieces": op5_pieces,
     "op6_urls": op6_urls,
     "op9_language": op9_language,
