@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import language, packing, pieces, quality, urls
+from flightline.llm import html, language, packing, pieces, quality, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -58,6 +58,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages", ["page_id", "url"]), URL_RULES)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_pieces": op5_pieces,
     "op6_urls": op6_urls,
+    "op7_html": op7_html,
     "op9_language": op9_language,
 }
 
