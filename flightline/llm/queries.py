@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import html, language, packing, pieces, quality, urls
+from flightline.llm import html, language, neighbours, packing, pieces, quality, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -43,6 +43,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return neighbours.nearest(vectors, lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     both = pieces.decode_documents(pieces.encode_documents(docs, PIECE_BPE), PIECE_BPE)
@@ -76,6 +81,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op3_neighbours": op3_neighbours,
     "op5_pieces": op5_pieces,
     "op6_urls": op6_urls,
     "op7_html": op7_html,
