@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import html, language, neighbours, packing, pieces, quality, urls
+from flightline.llm import html, language, near_dedup, neighbours, packing, pieces, quality, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -78,6 +78,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_html": op7_html,
     "op9_language": op9_language,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 _OP6 = r"""
