@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words a task remembers; the table is emptied when it is full, so memory stays bounded.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 150_000
+#: Texts segmented at a time; ids are Python numbers only inside such a group.
+GROUP_ROWS = 128
 
 _RUN = re.compile(" +[^ ]*")
 
@@ -88,6 +90,12 @@ def _table(path: str) -> WordTable:
     return WordTable(path)
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP_ROWS):
+            yield batch.slice(at, GROUP_ROWS)
+
+
 def _lists(rows: Sequence[Sequence[int]]) -> pa.Array:
     flat: list[int] = []
     offsets = [0]
@@ -107,7 +115,7 @@ def encode_documents(df: DataFrame, model_path: str, *, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path)
-        for batch in batches:
+        for batch in groups(batches):
             found = table.encode(batch.column(text).to_pylist())
             columns = [batch.column(n) for n in names] + [_lists(found)]
             yield pa.RecordBatch.from_arrays(columns, [*names, ids])
@@ -123,7 +131,7 @@ def decode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
-        for batch in batches:
+        for batch in groups(batches):
             column = batch.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             texts, at = [], 0
