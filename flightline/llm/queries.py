@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import html, language, near_dedup, neighbours, packing, pieces, quality, urls
+from flightline.llm import html, language, lm, near_dedup, neighbours, packing, pieces, quality, secrets, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -48,6 +48,13 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, lambda vec_id: vec_id % 50 == 0, k=5)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = lm.score_documents(docs, ~held_out)
+    return scored.withColumn("held_out", F.coalesce(id_remainder(F.col("doc_id"), 5) == 1, F.lit(False)))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     both = pieces.decode_documents(pieces.encode_documents(docs, PIECE_BPE), PIECE_BPE)
@@ -68,6 +75,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -86,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_neighbours": op3_neighbours,
+    "op4_lm": op4_lm,
     "op5_pieces": op5_pieces,
     "op6_urls": op6_urls,
     "op7_html": op7_html,
+    "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
 }
