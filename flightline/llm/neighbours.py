@@ -127,9 +127,15 @@ class _Search:
 
 
 def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows, summed in one fixed order for every pair."""
-    dot = (left * right).sum(axis=1)
-    return dot / (np.sqrt((left * left).sum(axis=1)) * np.sqrt((right * right).sum(axis=1)))
+    """Cosines of paired rows, summed from the first component to the last for every pair."""
+
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for d in range(a.shape[1]):
+            total += a[:, d] * b[:, d]
+        return total
+
+    return dot(left, right) / (np.sqrt(dot(left, left)) * np.sqrt(dot(right, right)))
 
 
 def search_shard(

@@ -125,4 +125,49 @@ SELECT p.page_id, p.host, p.path,
 FROM parts p
 """
 
-ORACLES: dict[str, str] = {"op6_urls": _OP6}
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.size * c.size) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP10 = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE
+    WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+      lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+    ELSE []::VARCHAR[] END AS shingles
+  FROM t),
+e AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (
+  SELECT a, b FROM p
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles,
+       least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id,
+       s.doc_id <= coalesce(c.least, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_neighbours": _OP3, "op6_urls": _OP6, "op10_near_dedup": _OP10}
