@@ -190,7 +190,10 @@ def judge_quality(
             count_repeated_words(words).alias("n_repeat_words"),
             let(
                 cells(words),
-                lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(weights, c)) / F.size(cs),
+                lambda cs: F.when(
+                    F.size(cs) > 0,
+                    F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(weights, c)) / F.size(cs),
+                ),
             ).alias("score"),
         ),
     )
