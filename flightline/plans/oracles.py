@@ -646,4 +646,6 @@ opened AS (SELECT *, (w // 2 * (h // 2) - 4) * 4 AS area FROM rects)
         "AND py >= r.y AND py < r.y + r.h GROUP BY f.run_id, f.n, py, px) GROUP BY run_id",
         rects,
     )
-    return sql
+    from . import tracker_oracle  # it builds on this module's texts
+
+    return sql | tracker_oracle.build(_GATES)

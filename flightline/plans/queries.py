@@ -356,10 +356,13 @@ def unassigned_detections(spark, sf):
 def track_predictions(spark, sf):
     """Flagship: recording to tracks to crossing, with the most probable gate per track and frame."""
     found = prediction.predict(tracked(spark, sf).snapshots, LAYOUT, SETTINGS)
+    chance = q("best_probability", 5)
+    # Far beside the gate bank every gate has the same vanishing probability: no gate is best.
     return prediction.with_best_gate(found).select(
         "run_id", "sequence", "frame_index", "status", "crossing_timestamp_ns",
         q("x_mean_mm", 4).alias("x_mean_mm"), q("x_std_mm", 4).alias("x_std_mm"),
-        "best_label", q("best_probability", 5).alias("best_probability"),
+        F.when(chance > 0, F.col("best_label")).alias("best_label"),
+        chance.alias("best_probability"),
         F.array_join("selected_gate_indices", ",").alias("selected"),
     )
 
