@@ -1,9 +1,10 @@
-"""Numeric Column functions Spark lacks, built from JVM-side expressions only."""
+"""Numeric functions Spark lacks, as JVM-side expressions and for arrays."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +67,19 @@ def norm_cdf_z(z: Column) -> Column:
     return F.lit(0.5) * (F.lit(1.0) + erf(z))
 
 
-def norm_cdf(value: Column, mean: Column, std: Column) -> Column:
-    return norm_cdf_z((value - mean) / (std * F.lit(math.sqrt(2.0))))
+def erf_values(x: np.ndarray) -> np.ndarray:
+    """``erf`` for arrays, by the same approximations."""
+    y, square = np.abs(x), x * x
+    poly = lambda v, coefficients: np.polyval(coefficients, v)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        small = x * poly(square, _ERF_SMALL_NUM) / poly(square, _ERF_SMALL_DEN)
+        decay = np.exp(-square)
+        mid = decay * poly(y, _ERFC_MID_NUM) / poly(y, _ERFC_MID_DEN)
+        inverse = 1.0 / square
+        ratio = inverse * poly(inverse, _ERFC_TAIL_NUM) / poly(inverse, _ERFC_TAIL_DEN)
+        tail = decay * (_INV_SQRT_PI - ratio) / y
+    large = np.sign(x) * (1.0 - np.where(y <= 4.0, mid, np.where(y < 6.0, tail, 0.0)))
+    return np.where(y <= 0.46875, small, large)
 
 
 def half_even(value: Column) -> Column:

@@ -1,16 +1,19 @@
-"""Sorting-line crossing, arrival uncertainty and gate probabilities as plain Columns."""
+"""Sorting-line crossing, arrival uncertainty and gate probabilities."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import project
 from ..functions.labels import TERMINAL, gate_label
-from ..functions.mathx import half_even, norm_cdf_z
-from ..functions.once import evaluate_once
+from ..functions.mathx import erf_values, half_even, norm_cdf_z
 from ..settings import FieldOfView, GateLayout, TrackerSettings
 from .kernel import BIRTH_VELOCITY_SIGMA
 
@@ -126,51 +129,51 @@ def gate_edges(layout: GateLayout) -> list[float]:
     ]
 
 
-def gate_bank(layout: GateLayout) -> Column:
-    """ARRAY<STRUCT<index,left_mm,right_mm>> literal of the layout."""
-    edges, radius = gate_edges(layout), layout.gate_count // 2
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i - radius).alias("index"),
-                F.lit(edges[i]).alias("left_mm"),
-                F.lit(edges[i + 1]).alias("right_mm"),
-            )
-            for i in range(layout.gate_count)
-        ]
-    )
+def _gate_chances(mean: np.ndarray, std: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Probability of every gate, one row per prediction."""
+    cdf = 0.5 * (1.0 + erf_values((edges - mean[:, None]) / (std * math.sqrt(2.0))[:, None]))
+    return np.clip(np.diff(cdf, axis=1), 0.0, 1.0)
 
 
-def with_gates(crossed: DataFrame, layout: GateLayout) -> DataFrame:
-    """Nested gate probabilities and the indices at or above the actuation threshold."""
-    scale = F.col("x_std_mm") * F.lit(math.sqrt(2.0))
-    edges, radius = gate_edges(layout), layout.gate_count // 2
-    # Unrolled on purpose: plain columns are compiled, lambdas over arrays are interpreted.
-    keep = crossed.columns
-    z = crossed.select(
-        *keep,
-        *[((F.lit(e) - F.col("x_mean_mm")) / scale).alias(f"_z{i}") for i, e in enumerate(edges)],
-    )
-    cdf = z.select(*keep, *[norm_cdf_z(F.col(f"_z{i}")).alias(f"_c{i}") for i in range(len(edges))])
-    gates = F.array(
-        *[
-            F.struct(
-                F.lit(i - radius).alias("index"),
-                F.lit(edges[i]).alias("left_mm"),
-                F.lit(edges[i + 1]).alias("right_mm"),
-                F.greatest(
-                    F.lit(0.0), F.least(F.lit(1.0), F.col(f"_c{i + 1}") - F.col(f"_c{i}"))
-                ).alias("probability"),
+def with_gates(crossed: DataFrame, layout: GateLayout, *, nested: bool = True) -> DataFrame:
+    """Gate probabilities, the indices at or above the actuation threshold and the best gate.
+
+    One array computation per batch; ``nested`` adds the whole bank of every row as ``gates``. The
+    first of equally probable gates is the best.
+    """
+    edges, radius = np.array(gate_edges(layout)), layout.gate_count // 2
+    threshold, count = layout.actuation_probability_threshold, layout.gate_count
+    indices = np.arange(-radius, radius + 1, dtype=np.int32)
+    added = "selected_gate_indices array<int>, best_gate int, best_probability double"
+    if nested:
+        added = f"gates array<struct<index:int,left_mm:double,right_mm:double,probability:double>>, {added}"
+    schema = T.StructType([*crossed.schema.fields, *T.StructType.fromDDL(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            chance = _gate_chances(
+                batch.column("x_mean_mm").to_numpy(), batch.column("x_std_mm").to_numpy(), edges
             )
-            for i in range(layout.gate_count)
-        ]
-    )
-    threshold = F.lit(layout.actuation_probability_threshold)
-    selected = F.transform(
-        F.filter("gates", lambda g: g["probability"] >= threshold), lambda g: g["index"]
-    )
-    banked = evaluate_once(cdf, gates=gates).select(*keep, "gates")
-    return evaluate_once(banked, selected_gate_indices=selected)
+            chosen = chance >= threshold
+            ends = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))]).astype(np.int32)
+            best = chance.argmax(axis=1) if rows else np.array([], np.int64)
+            columns = [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.broadcast_to(indices, chance.shape)[chosen])),
+                pa.array(indices[best]),
+                pa.array(chance[np.arange(rows), best]),
+            ]
+            if nested:
+                flat = [np.tile(x, rows) for x in (indices, edges[:-1], edges[1:])]
+                bank = pa.StructArray.from_arrays(
+                    [pa.array(x) for x in (*flat, chance.ravel())],
+                    ["index", "left_mm", "right_mm", "probability"],
+                )
+                starts = pa.array(np.arange(rows + 1, dtype=np.int32) * count)
+                columns.insert(0, pa.ListArray.from_arrays(starts, bank))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+
+    return crossed.mapInArrow(run, schema)
 
 
 def predict(
@@ -179,8 +182,9 @@ def predict(
     settings: TrackerSettings | None = None,
     *,
     line_y: Column | None = None,
+    nested: bool = True,
 ) -> DataFrame:
-    return with_gates(crossings(snapshots, layout, settings, line_y=line_y), layout)
+    return with_gates(crossings(snapshots, layout, settings, line_y=line_y), layout, nested=nested)
 
 
 def gate_rows(crossed: DataFrame, layout: GateLayout, keep: list[str]) -> DataFrame:
@@ -206,27 +210,9 @@ def gate_rows(crossed: DataFrame, layout: GateLayout, keep: list[str]) -> DataFr
     )
 
 
-def best_gate(gates: Column) -> Column:
-    """Most probable gate; the first one wins a tie."""
-    return F.reduce(
-        gates,
-        gates[0],
-        lambda best, item: F.when(item["probability"] > best["probability"], item).otherwise(best),
-    )
-
-
 def with_best_gate(predictions: DataFrame) -> DataFrame:
-    return (
-        predictions.withColumn("_best", best_gate(F.col("gates")))
-        .withColumns(
-            {
-                "best_gate": F.col("_best.index"),
-                "best_label": gate_label(F.col("_best.index")),
-                "best_probability": F.col("_best.probability"),
-            }
-        )
-        .drop("_best")
-    )
+    """The label of the best gate."""
+    return predictions.withColumn("best_label", gate_label(F.col("best_gate")))
 
 
 def interval_95(crossed: DataFrame, mm_to_px: Column) -> DataFrame:

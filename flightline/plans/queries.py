@@ -28,7 +28,6 @@ from ..settings import DetectorSettings, GateLayout, TrackerSettings, sorting_li
 from ..sources import export
 from ..sources import recordings as rec
 from . import fixtures as fx
-from .session import tune
 
 SETTINGS = TrackerSettings()
 LAYOUT = GateLayout(fx.SORTING_LINE_MM)
@@ -39,7 +38,7 @@ QUERIES: dict[str, Query] = {}
 def query(build: Query) -> Query:
     @functools.wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(tune(spark), sf_dir)
+        return build(spark, sf_dir)
 
     QUERIES[build.__name__] = run
     return build
@@ -247,7 +246,7 @@ def gate_probabilities(spark, sf):
 def _predicted(spark, sf):
     """Confirmed-quality states, so that gate choices are decided by narrow distributions."""
     sharp = _born(spark, sf).withColumn("p_vel", F.lit(400.0))
-    return prediction.predict(sharp, LAYOUT, SETTINGS)
+    return prediction.predict(sharp, LAYOUT, SETTINGS, nested=False)
 
 
 @query
@@ -355,7 +354,7 @@ def unassigned_detections(spark, sf):
 @query
 def track_predictions(spark, sf):
     """Flagship: recording to tracks to crossing, with the most probable gate per track and frame."""
-    found = prediction.predict(tracked(spark, sf).snapshots, LAYOUT, SETTINGS)
+    found = prediction.predict(tracked(spark, sf).snapshots, LAYOUT, SETTINGS, nested=False)
     chance = q("best_probability", 5)
     # Far beside the gate bank every gate has the same vanishing probability: no gate is best.
     return prediction.with_best_gate(found).select(
@@ -370,14 +369,14 @@ def track_predictions(spark, sf):
 @query
 def track_table(spark, sf):
     result = tracked(spark, sf)
-    found = prediction.predict(result.snapshots, LAYOUT, SETTINGS)
+    found = prediction.predict(result.snapshots, LAYOUT, SETTINGS, nested=False)
     return lifecycle.track_table(result.snapshots, found, result.rejections)
 
 
 @query
 def track_review(spark, sf):
     result = tracked(spark, sf)
-    found = prediction.predict(result.snapshots, LAYOUT, SETTINGS)
+    found = prediction.predict(result.snapshots, LAYOUT, SETTINGS, nested=False)
     return lifecycle.track_review(result.snapshots, found)
 
 
