@@ -266,10 +266,16 @@ def detections(components: DataFrame, settings: DetectorSettings | None = None)
     )
 
 
-def frame_verdicts(classified: DataFrame) -> DataFrame:
-    return classified.groupBy("run_id", "frame_index").agg(
-        F.count(F.lit(1)).alias("foreground_components"),
-        F.count_if("accepted").alias("accepted"),
+def frame_verdicts(classified: DataFrame, frames: DataFrame) -> DataFrame:
+    """Component and acceptance counts of every frame, zero where nothing was found."""
+    counted = classified.groupBy("run_id", "frame_index").agg(
+        F.count(F.lit(1)).alias("_found"), F.count_if("accepted").alias("_accepted")
+    )
+    return frames.select("run_id", "frame_index").join(counted, ["run_id", "frame_index"], "left").select(
+        "run_id",
+        "frame_index",
+        F.coalesce("_found", F.lit(0)).alias("foreground_components"),
+        F.coalesce("_accepted", F.lit(0)).alias("accepted"),
     )
 
 

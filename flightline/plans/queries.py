@@ -22,7 +22,13 @@ from ..operators import (
     prediction,
     segments,
 )
-from ..operators.tracking import Tracking, edge_reason, outside_birth_zone, track
+from ..operators.tracking import (
+    Tracking,
+    edge_reason,
+    every_frame_count,
+    outside_birth_zone,
+    track,
+)
 from ..registry import commands, fold, queries as ask, tables as reg
 from ..settings import DetectorSettings, GateLayout, TrackerSettings, sorting_line_y
 from ..sources import export
@@ -340,7 +346,7 @@ def track_events(spark, sf):
 
 @query
 def track_frame_counts(spark, sf):
-    return tracked(spark, sf).frame_counts
+    return every_frame_count(fx.timeline(spark, sf), tracked(spark, sf).frame_counts)
 
 
 @query
@@ -579,7 +585,7 @@ def frame_detections(spark, sf):
 @query
 def frame_verdicts(spark, sf):
     parts = detection.detect_components(fx.frames(spark, sf), fx.backgrounds(spark, sf), DETECTOR)
-    return detection.frame_verdicts(detection.classify(parts, DETECTOR))
+    return detection.frame_verdicts(detection.classify(parts, DETECTOR), fx.frames(spark, sf))
 
 
 @query

@@ -1,18 +1,14 @@
-"""A cheap slice of the driver's oracle comparison; ``tests/oracle_check.py`` runs all of it."""
+"""Every query with an oracle, on the smallest tables; ``tests/oracle_check.py`` takes larger ones."""
 
 import pytest
 
 import __spark_entry__ as entry
 import oracle_check
 
-CHECKED = (
-    "project_mm", "timeline_exact_nominal", "flight_segments", "candidate_costs", "crossing",
-    "filter_labelled", "selected_gates", "detection_accounting", "frame_detections",
-    "background_median", "stratified_coverage", "decisions_current", "latency_summary",
-)
+from flightline.plans import oracles
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(oracles.build()))
 def test_query_equals_oracle(spark, sf_dir, name):
     con = oracle_check.connect(sf_dir)
     text, ok = oracle_check.compare(
