@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH = 24
-NOISE = 32
+WIDTH = 16
+NOISE = 24
 BATCH = 512
-RATE = 0.15
+RATE = 0.2
 
 
 @dataclass

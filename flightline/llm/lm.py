@@ -22,7 +22,6 @@ an empty result.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,38 +34,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightline.llm.lbl import Model, Scorer, Trainer
-from flightline.llm.text import SPACES, fold_case, lower_ascii, words_of
+from flightline.llm.text import lower_ascii, words_of
 from flightline.plans.durable import durable
 
 FREQUENT = 2_000_000
 TOP_WORDS = 383
 BUCKETS = 128
-BUCKET_LETTERS = 3
+BUCKET_BYTES = 4
 ROUNDS = 3
 #: Texts handled at a time inside a task.
 GROUP_ROWS = 512
 
 #: No word holds a space, so this stands for the end token in the table of counts.
 END = " "
-_WORD = re.compile(f"[^{re.escape(SPACES)}]+")
 _CLASSES = 1 + BUCKETS + TOP_WORDS
 
 
-@functools.lru_cache(maxsize=100_000)
-def bucket_of(word: str) -> int:
-    return 1 + zlib.crc32(word[:BUCKET_LETTERS].encode()) % BUCKETS
+def bucket_of(word: bytes) -> int:
+    return 1 + zlib.crc32(word[:BUCKET_BYTES]) % BUCKETS
+
+
+class _BucketTable(dict):
+    """Buckets by first letters; words have far fewer beginnings than forms."""
+
+    def __missing__(self, letters: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[letters] = found = bucket_of(letters)
+        return found
 
 
 def bucket_column(word: Column) -> Column:
     """``bucket_of`` as a column."""
-    return (F.lit(1) + F.crc32(F.substring(word, 1, BUCKET_LETTERS).cast("binary")) % F.lit(BUCKETS)).cast("int")
+    return (F.lit(1) + F.crc32(F.substring(word.cast("binary"), 1, BUCKET_BYTES)) % F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
 class Words:
     """What tasks know about words. Class 0 is the end, then the buckets, then the top words."""
 
-    place: dict[str, int]
+    place: dict[bytes, int]
     classes: np.ndarray
     counts: np.ndarray
     shares: np.ndarray
@@ -113,8 +120,8 @@ def known_words(counts: DataFrame) -> Words:
         sizes[row["b"]] = row["n"]
     place, classes, held = {}, [], []
     for word, count in frequent:
-        place[word] = len(held)
-        classes.append(own[word] if word in own else bucket_of(word))
+        place[word.encode()] = len(held)
+        classes.append(own[word] if word in own else bucket_of(word.encode()))
         held.append(count)
         if word in own:
             sizes[own[word]] = count
@@ -125,8 +132,9 @@ def known_words(counts: DataFrame) -> Words:
     )
 
 
-def _words(text: str | None) -> list[str]:
-    return _WORD.findall(fold_case(text)) if text else []
+def _words(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8: bytes fold A-Z and split at the six ASCII white spaces only."""
+    return text.lower().split() if text else []
 
 
 def _contexts(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +150,20 @@ def _contexts(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 class _Tokens:
     """Tokens of a group of texts: place among the frequent words (-1 if rare), class, text."""
 
-    def __init__(self, texts: list[str | None], words: Words) -> None:
+    def __init__(self, texts: list[bytes | None], words: Words, buckets: _BucketTable) -> None:
         place, classes, lengths = [], [], []
-        #: Rare words of every text with their counts.
-        self.rare: list[Counter[str]] = []
-        end = words.place.get(END, -1)
+        #: Rare words of every text.
+        self.rare: list[list[bytes]] = []
+        end = words.place.get(END.encode(), -1)
         get = words.place.get
         for text in texts:
             tokens = _words(text)
             found = [get(w, -1) for w in tokens]
             rare = [w for w, p in zip(tokens, found, strict=True) if p < 0]
-            self.rare.append(Counter(rare))
+            self.rare.append(rare)
             place += found
             place.append(end)
-            classes += map(bucket_of, rare)
+            classes += [buckets[w[:BUCKET_BYTES]] for w in rare]
             lengths.append(len(found) + 1)
         self.place = np.array(place, np.int64)
         self.lengths = np.array(lengths, np.int64)
@@ -188,9 +196,9 @@ def train(training: DataFrame, words: Words, *, doc_id: str = "doc_id", text: st
         def learn(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             known = shared.value
             own = Model.from_flat(start.value.copy(), _CLASSES)
-            trainer, seen = Trainer(own, known.shares, turn), 0
+            trainer, seen, buckets = Trainer(own, known.shares, turn), 0, _BucketTable()
             for group in _group_texts(batches):
-                tokens = _Tokens(group.column(0).to_pylist(), known)
+                tokens = _Tokens(group.column(0).cast(pa.binary()).to_pylist(), known, buckets)
                 trainer.learn(tokens.last, tokens.before, tokens.classes)
                 seen += len(tokens.classes)
             if seen:
@@ -255,9 +263,9 @@ def score(
         own_log = np.where(in_bucket, np.log10(known.counts + 0.5) - inside[known.classes], 0.0)
         # What a rare word adds besides log10(c + 0.5), which the join brings.
         rare_base = -np.log10(known.tokens + 0.5 * (known.distinct + 1))
-        row = TaskContext.get().partitionId() << 40
+        row, buckets = TaskContext.get().partitionId() << 40, _BucketTable()
         for group in _group_texts(batches):
-            tokens = _Tokens(group.column(1).to_pylist(), known)
+            tokens = _Tokens(group.column(1).cast(pa.binary()).to_pylist(), known, buckets)
             base, own = np.full(len(tokens.place), rare_base), -inside[tokens.classes]
             at = tokens.place[tokens.known]
             base[tokens.known], own[tokens.known] = base_log[at], own_log[at]
@@ -267,10 +275,10 @@ def score(
             total = scorer.log10(tokens.last, tokens.before, tokens.classes) + own
             sums = [np.add.reduceat(x, tokens.starts) if len(x) else x for x in (base, total, tokens.known * 1)]
             source, words_out, numbers = [], [], []
-            for k, rare in enumerate(tokens.rare):
+            for k, rare in enumerate(map(Counter, tokens.rare)):
                 # Texts without a rare word send one row, under a key of their own.
                 source += [k] * max(1, len(rare))
-                words_out += rare.keys() or [f"{END}{row + k}"]
+                words_out += rare.keys() or [f"{END}{row + k}".encode()]
                 numbers += rare.values() or [0]
             source = np.array(source, np.int64)
             first = np.ones(len(source), bool)
@@ -286,7 +294,7 @@ def score(
                     only(sums[2].astype(np.int64)),
                     only(sums[0]),
                     only(sums[1]),
-                    pa.array(words_out, pa.string()),
+                    pa.array(words_out, pa.binary()).cast(pa.string()),
                     pa.array(numbers, pa.int64()),
                 ],
                 ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "n"],

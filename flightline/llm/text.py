@@ -12,14 +12,6 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_FOLD = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
-
-
-def fold_case(text: str) -> str:
-    """``lower_ascii`` for one Python string."""
-    return text.translate(_FOLD)
-
-
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
