@@ -112,25 +112,35 @@ def temporal_median(selected: DataFrame) -> DataFrame:
     """Per-pixel median over the selected frames of each run.
 
     Frames are cut into row tiles on the JVM side; a task holds the tile stack of one run, and the
-    number of selected frames is a setting (eleven by default). Frames of unequal shape are refused.
+    number of selected frames is a setting (eleven by default). A run whose frames differ in shape,
+    or do not fill it, has a row with ``problem`` set and no image.
     """
     shapes = selected.groupBy("run_id").agg(
         F.min(F.struct("height", "width")).alias("_lo"), F.max(F.struct("height", "width")).alias("_hi"),
         F.bool_and(F.length("bgr") == F.col("height") * F.col("width") * 3).alias("_ok"),
     )
-    good = shapes.where((F.col("_lo") == F.col("_hi")) & F.col("_ok")).select("run_id")
+    equal = F.coalesce((F.col("_lo") == F.col("_hi")) & F.col("_ok"), F.lit(False))
+    good = shapes.where(equal).select("run_id")
+    refused = shapes.where(~equal).select(
+        "run_id", F.lit("frames of unequal or unfilled shape").alias("problem")
+    )
     row_bytes = F.col("width") * 3
-    tiles = F.sequence(F.lit(0), F.floor((F.col("height") - 1) / TILE_ROWS).cast("int"))
-    cut = (
-        selected.join(good, "run_id", "left_semi")
-        .withColumn("tile", F.explode(tiles))
-        .select(
-            "run_id", "tile", F.col("height").cast("int"), F.col("width").cast("int"),
+    # Cut first, explode the pieces: a frame is copied once, not once per tile.
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.floor((F.col("height") - 1) / TILE_ROWS).cast("int")),
+        lambda tile: F.struct(
+            tile.alias("tile"),
             F.substring(
-                "bgr", (F.col("tile") * TILE_ROWS * row_bytes + 1).cast("int"),
+                F.col("bgr"), (tile * TILE_ROWS * row_bytes + 1).cast("int"),
                 (F.lit(TILE_ROWS) * row_bytes).cast("int"),
             ).alias("data"),
-        )
+        ),
+    )
+    cut = selected.join(good, "run_id", "left_semi").select(
+        "run_id", "height", "width", F.explode(tiles).alias("_t")
+    ).select(
+        "run_id", "_t.tile", F.col("height").cast("int").alias("height"),
+        F.col("width").cast("int").alias("width"), "_t.data",
     )
     medians = (
         spread(cut, "run_id", "tile")
@@ -140,9 +150,11 @@ def temporal_median(selected: DataFrame) -> DataFrame:
         )
     )
     parts = F.sort_array(F.collect_list(F.struct("tile", "data")))
-    return medians.groupBy("run_id", "height", "width").agg(parts.alias("_p")).select(
+    images = medians.groupBy("run_id", "height", "width").agg(parts.alias("_p")).select(
         "run_id", "height", "width",
         F.aggregate(
             "_p", F.lit(b"").cast("binary"), lambda image, part: F.concat(image, part["data"])
         ).alias("bgr"),
+        F.lit(None).cast("string").alias("problem"),
     )
+    return images.unionByName(refused, allowMissingColumns=True)

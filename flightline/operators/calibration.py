@@ -151,19 +151,23 @@ def fit_homographies(
     """Least-squares pixel-to-mm mapping per calibration, refined on the reprojection error.
 
     A linear start on normalised coordinates is followed by Gauss-Newton steps; every step is one
-    aggregation over the points. The image centre becomes the metric origin.
+    aggregation over the points. The image centre becomes the metric origin. Calibrations that
+    cannot be fitted keep a row with ``problem`` set and no mapping.
     """
     width, height = image_size_px
     if width <= 1 or height <= 1:
         raise ValueError("image dimensions must be greater than one pixel")
     key = "calibration_id"
     c = F.col
-    frame = points.groupBy(key).agg(
+    measured = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.avg(n).alias(f"_m_{n}") for n in ("px", "py", "gx", "gy")],
         F.greatest(F.stddev_pop("px"), F.stddev_pop("py")).alias("_sp"),
         F.greatest(F.stddev_pop("gx"), F.stddev_pop("gy")).alias("_sg"),
-    ).where((c("_n") >= 4) & (c("_sp") > 0) & (c("_sg") > 0))
+    )
+    usable = F.coalesce((c("_n") >= 4) & (c("_sp") > 0) & (c("_sg") > 0), F.lit(False))
+    frame = measured.where(usable)
+    unfit = measured.where(~usable).select(key, F.lit("fewer than four spread points").alias("problem"))
     scaled = points.join(frame, key).select(
         key,
         ((c("px") - c("_m_px")) / c("_sp")).alias("u"), ((c("py") - c("_m_py")) / c("_sp")).alias("v"),
@@ -234,7 +238,7 @@ def fit_homographies(
     )
     top = project(c("px_to_mm"), middle[0], F.lit(0.0))["y"]
     bottom = project(c("px_to_mm"), middle[0], F.lit(height - 1.0))["y"]
-    return (
+    fitted = (
         centred.join(quality, key)
         .withColumns(
             {
@@ -248,6 +252,7 @@ def fit_homographies(
         )
         .drop("_ox", "_oy")
     )
+    return fitted.unionByName(unfit, allowMissingColumns=True)
 
 
 def metric_documents(fitted: DataFrame) -> DataFrame:

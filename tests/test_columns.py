@@ -251,3 +251,22 @@ def test_run_export_writes_header_and_frames(spark):
     export.export_runs(headers, frames, path)
     lines = [r.value for r in spark.read.text(path + "/run_id=r").collect()]
     assert len(lines) == 3 and json.loads(lines[0])["schema"] == export.RUN_SCHEMA
+
+
+def test_what_cannot_be_computed_keeps_a_row(spark):
+    points = spark.createDataFrame(
+        [("line", float(i), 5.0, float(i), 1.0) for i in range(3)]
+        + [("plate", x * 50.0, y * 40.0, float(x), float(y)) for x in range(4) for y in range(4)],
+        "calibration_id string, px double, py double, gx double, gy double",
+    )
+    fitted = {r.calibration_id: r for r in calibration.fit_homographies(points).collect()}
+    assert fitted["line"].problem and fitted["line"].px_to_mm is None
+    assert fitted["plate"].problem is None and fitted["plate"].rms_error_mm < 1e-6
+    frames = spark.createDataFrame(
+        [("even", 0, 2, 2, bytearray([1] * 12)), ("even", 1, 2, 2, bytearray([3] * 12)),
+         ("even", 2, 2, 2, bytearray([2] * 12)), ("odd", 0, 2, 2, bytearray(12)), ("odd", 1, 1, 2, bytearray(6))],
+        "run_id string, frame_index bigint, height int, width int, bgr binary",
+    )
+    images = {r.run_id: r for r in background.temporal_median(frames).collect()}
+    assert bytes(images["even"].bgr) == bytes([2] * 12) and images["even"].problem is None
+    assert images["odd"].bgr is None and images["odd"].problem
