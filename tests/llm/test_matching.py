@@ -157,6 +157,25 @@ def test_chains_borders_and_hot_groups(spark):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_lists_compared_in_blocks(spark, monkeypatch):
+    """The block comparison alone, with blocks of three rows, finds what the join finds."""
+    monkeypatch.setattr(near_dedup, "PAIRS_JOINED", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 1)
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for size in (40, 120, 500):
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(draw.randint(0, size // 14)):
+                copy[draw.randrange(size)] = word()
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     found = sorted(((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()), key=repr)
     _, sizes = brute.components({(r.doc_id or -1): r.text for r in odd.collect()}.items())
