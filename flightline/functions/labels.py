@@ -32,7 +32,8 @@ def gate_label(index: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    return value.isNull() | (F.trim(value) == "")
+    """Null, empty or nothing but white space of any kind."""
+    return value.isNull() | value.rlike(r"(?U)^\s*$")
 
 
 def track_event_id(run_id: Column, sequence: Column, frame: Column, status: Column) -> Column:

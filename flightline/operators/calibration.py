@@ -76,7 +76,7 @@ def check_documents(raw: DataFrame) -> DataFrame:
 def grid_points(documents: DataFrame, pitch_mm: float = HOLE_PITCH_MM) -> DataFrame:
     """Pair every pixel point with its ideal grid position, row by row."""
     if not np.isfinite(pitch_mm) or pitch_mm <= 0:
-        raise ValueError("hole pitch must be positive")
+        raise ValueError("pitch_mm is not above zero")
     layout = F.flatten(
         F.transform(
             "row_counts",
@@ -156,7 +156,7 @@ def fit_homographies(
     """
     width, height = image_size_px
     if width <= 1 or height <= 1:
-        raise ValueError("image dimensions must be greater than one pixel")
+        raise ValueError("an image side has fewer than two pixels")
     key = "calibration_id"
     c = F.col
     measured = points.groupBy(key).agg(

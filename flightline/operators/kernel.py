@@ -15,7 +15,8 @@ from .assignment import TIE_TOLERANCE, UNMATCHED_COST, assign
 
 # Fixed value: initial velocity standard deviation, mm/s.
 BIRTH_VELOCITY_SIGMA = 500.0
-OUTSIDE_BIRTH = "outside top birth region"
+# Reasons of rejections beside the margins.
+OUTSIDE_BIRTH, CONTINUED = "outside top birth region", "continuation of "
 ROW_TRACK, ROW_REJECTION, ROW_SUPPRESSED, ROW_ENTRY, ROW_EXIT = (
     "track", "rejection", "suppressed", "entry", "exit",
 )
@@ -152,7 +153,7 @@ class FrameTracker:
             absorbed[id(flight)] = detection
             taken.add(index)
             if flight.reason is not None:
-                rejections.append((detection, "continuation of " + flight.reason))
+                rejections.append((detection, CONTINUED + flight.reason))
         emitted, survivors = [], []
         for flight in self.active:
             detection = absorbed.get(id(flight))

@@ -144,7 +144,7 @@ def track_violation(track: Column, prediction: Column) -> Column:
     return (
         F.when(
             is_blank(track["bean_ref"]["run_id"]) | (track["bean_ref"]["sequence"] <= 0),
-            F.lit("a public run ID and a positive bean sequence are required"),
+            F.lit("run_id is blank or sequence is not positive"),
         )
         .when(
             prediction.isNotNull()
@@ -152,9 +152,9 @@ def track_violation(track: Column, prediction: Column) -> Column:
                 prediction["bean_ref"]["run_id"].eqNullSafe(track["bean_ref"]["run_id"])
                 & prediction["bean_ref"]["sequence"].eqNullSafe(track["bean_ref"]["sequence"])
             ),
-            F.lit("prediction belongs to a different bean"),
+            F.lit("prediction and track name different beans"),
         )
-        .when(~(finite & seen & foretold), F.lit("registry values must be finite JSON data"))
+        .when(~(finite & seen & foretold), F.lit("a number is missing, NaN or infinite"))
     )
 
 
@@ -162,28 +162,28 @@ def enrichment_violation(e: Column) -> Column:
     return (
         F.when(
             is_blank(e["source"]) | is_blank(e["kind"]),
-            F.lit("enrichment source and kind are required"),
+            F.lit("source or kind of the enrichment is blank"),
         )
-        .when(e["timestamp_ns"] < 0, F.lit("enrichment timestamp cannot be negative"))
+        .when(e["timestamp_ns"] < 0, F.lit("timestamp of the enrichment is below zero"))
         .when(
             e["confidence"].isNotNull()
             & (F.isnan(e["confidence"]) | (e["confidence"] < 0) | (e["confidence"] > 1)),
-            F.lit("enrichment confidence must be between zero and one"),
+            F.lit("confidence lies outside 0..1"),
         )
     )
 
 
 def decision_violation(d: Column) -> Column:
     return (
-        F.when(is_blank(d["source"]), F.lit("sorting decision source is required"))
-        .when(d["timestamp_ns"] < 0, F.lit("sorting decision timestamp cannot be negative"))
+        F.when(is_blank(d["source"]), F.lit("source of the decision is blank"))
+        .when(d["timestamp_ns"] < 0, F.lit("timestamp of the decision is below zero"))
         .when(
             d["actuation_timestamp_ns"] < d["timestamp_ns"],
-            F.lit("actuation cannot predate its sorting decision"),
+            F.lit("actuation lies before the decision"),
         )
         .when(
             F.size(F.array_distinct(d["gate_indices"])) != F.size(d["gate_indices"]),
-            F.lit("sorting decision gate indices must be unique"),
+            F.lit("a gate is named twice"),
         )
     )
 
@@ -274,14 +274,14 @@ def parse_commands(log: DataFrame) -> DataFrame:
     )
     empty_batch = c("is_batch") & ~c("no_updates") & c("item_no").isNull()
     problem = (
-        F.when(c("unreadable"), F.lit("command is not a JSON object"))
+        F.when(c("unreadable"), F.lit("line holds no JSON object"))
         .when(
             ~c("schema").eqNullSafe(F.lit(COMMAND_SCHEMA)),
-            F.lit("unsupported or missing registry schema"),
+            F.lit("schema is missing or another one"),
         )
-        .when(c("request_id") == "", F.lit("request_id is required"))
-        .when(~op.isin(*WRITES, *READS), F.concat(F.lit("unknown registry operation: "), op))
-        .when(c("no_payload") & op.isin(*WRITES), F.lit("payload must be an object"))
+        .when(c("request_id") == "", F.lit("request_id is empty"))
+        .when(~op.isin(*WRITES, *READS), F.concat(F.lit("no such operation: "), op))
+        .when(c("no_payload") & op.isin(*WRITES), F.lit("payload holds no object"))
         .when(empty_batch, F.lit(None).cast("string"))
         .otherwise(content)
     )

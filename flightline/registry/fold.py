@@ -81,9 +81,9 @@ def event_kind(previous: str | None, incoming: str) -> str:
 def _track(state: BeanState, c: dict):
     if state.revision:
         if c["ts"] < state.track_ts:
-            return REJECTED, STALE, "track timestamp is older than the current registry state", None
+            return REJECTED, STALE, "update lies before the last one of this bean", None
         if c["status"] not in TRANSITIONS[state.status]:
-            text = f"invalid bean lifecycle transition {state.status} -> {c['status']}"
+            text = f"no step leads from {state.status} to {c['status']}"
             return REJECTED, CONFLICT, text, None
     kind = event_kind(state.status, c["status"])
     if not state.revision:
@@ -97,7 +97,7 @@ def _enrich(state: BeanState, c: dict):
     if known is not None:
         if known == c["part_hash"]:
             return NOOP, None, None, None
-        return REJECTED, CONFLICT, "an enrichment result ID was reused with different content", None
+        return REJECTED, CONFLICT, "same result_id, other content", None
     state.results[c["part_id"]] = c["part_hash"]
     return APPLIED, None, None, "enrichment.added"
 
@@ -108,9 +108,9 @@ def _decide(state: BeanState, c: dict):
         if current[0] == c["part_id"]:
             if current[1] == c["part_hash"] and current[3] == c["ack_ts"]:
                 return NOOP, None, None, None
-            return REJECTED, CONFLICT, "a decision ID was reused with different content", None
+            return REJECTED, CONFLICT, "same decision_id, other content", None
         if current[3] is not None:
-            return REJECTED, CONFLICT, "an acknowledged sorting decision cannot be replaced", None
+            return REJECTED, CONFLICT, "the open decision is already acknowledged", None
     state.decision = (c["part_id"], c["part_hash"], c["ts"], c["ack_ts"])
     return APPLIED, None, None, "sorting.decision"
 
@@ -118,13 +118,13 @@ def _decide(state: BeanState, c: dict):
 def _acknowledge(state: BeanState, c: dict):
     current = state.decision
     if current is None or current[0] != c["part_id"]:
-        return REJECTED, CONFLICT, "sorting decision does not exist", None
+        return REJECTED, CONFLICT, "no open decision has this id", None
     if c["ts"] < current[2]:
-        return REJECTED, STALE, "decision acknowledgement predates the decision", None
+        return REJECTED, STALE, "acknowledged before it was decided", None
     if current[3] is not None:
         if current[3] == c["ts"]:
             return NOOP, None, None, None
-        text = "sorting decision was already acknowledged at another time"
+        text = "acknowledged before, at another moment"
         return REJECTED, CONFLICT, text, None
     state.decision = (*current[:3], c["ts"])
     return APPLIED, None, None, "sorting.acknowledged"

@@ -102,9 +102,9 @@ def list_active(current: DataFrame, *, run_id: str | None = None) -> DataFrame:
 def events_since(events: DataFrame, after_sequence: int, *, limit: int = 1_000) -> DataFrame:
     """One page of the journal after a cursor, in order."""
     if after_sequence < 0:
-        raise ValueError("event cursor cannot be negative")
+        raise ValueError("after_sequence is below zero")
     if not 1 <= limit <= 10_000:
-        raise ValueError("event query limit must be between 1 and 10000")
+        raise ValueError("limit lies outside 1..10000")
     later = events.where(F.col("stream_sequence") > after_sequence)
     return later.orderBy("stream_sequence").limit(limit)
 
@@ -113,7 +113,7 @@ def check_cursor(retained: DataFrame, after_sequence: int) -> None:
     """Raise when events between the cursor and the retained journal are gone."""
     oldest = retained.agg(F.min("stream_sequence")).first()[0]
     if oldest is not None and after_sequence < oldest - 1:
-        raise HistoryGap("event cursor is older than the retained registry journal")
+        raise HistoryGap("events after this cursor are no longer kept")
 
 
 def journal_gaps(events: DataFrame, block_width: int = 65_536) -> DataFrame:

@@ -98,7 +98,7 @@ class TrackerSettings(_Settings):
         _require(self.appearance_weight >= 0, "appearance_weight cannot be negative")
         _require(
             self.left_birth_margin_px >= 0 and self.right_birth_margin_px >= 0,
-            "birth margins cannot be negative",
+            "a birth margin is below zero",
         )
 
 
@@ -111,16 +111,17 @@ class FieldOfView(_Settings):
     image_width_px: int = 1456
 
     def __post_init__(self):
-        _require(self.bottom_y_mm > self.top_y_mm, "field-of-view bottom must lie below its top")
+        _require(self.bottom_y_mm > self.top_y_mm, "bottom_y_mm is not below top_y_mm")
         _require(self.image_width_px > 0, "image width must be positive")
 
     def check_margins(self, settings: TrackerSettings) -> None:
         used = settings.left_birth_margin_px + settings.right_birth_margin_px
-        _require(used < self.image_width_px, "birth margins leave no usable image width")
+        _require(used < self.image_width_px, "birth margins cover the whole image")
 
 
 @dataclass(frozen=True)
 class GateLayout(_Settings):
+    # Fixed default values of the gate bank.
     line_y_mm: float
     gate_width_mm: float = 5.0
     gate_count: int = 21
@@ -128,8 +129,8 @@ class GateLayout(_Settings):
     actuation_probability_threshold: float = 0.35
 
     def __post_init__(self):
-        _require(self.gate_width_mm > 0, "gate width must be positive")
-        _require(self.gate_count > 0 and self.gate_count % 2 == 1, "gate count must be odd")
+        _require(self.gate_width_mm > 0, "gate_width_mm is not above zero")
+        _require(self.gate_count > 0 and self.gate_count % 2 == 1, "gate_count is not an odd number above zero")
         _require(
             0.0 <= self.actuation_probability_threshold <= 1.0,
             "gate probability threshold must lie in 0..1",
@@ -137,6 +138,6 @@ class GateLayout(_Settings):
 
 
 def sorting_line_y(bottom_y_mm: float, offset_below_fov_mm: float = 30.0) -> float:
-    """Sorting line position for a known field-of-view bottom."""
-    _require(offset_below_fov_mm > 0, "sorting-line offset must be positive")
+    """Sorting line position for a known field-of-view bottom; 30 mm is a fixed value."""
+    _require(offset_below_fov_mm > 0, "the offset is not above zero")
     return bottom_y_mm + offset_below_fov_mm

@@ -142,11 +142,11 @@ def decode_records(lines: DataFrame) -> DataFrame:
         ),
         F.when(~F.coalesce(r["status"].isin(*STATUSES), F.lit(False)), F.lit("unknown record status")),
         track_problem(r["track"]),
-        F.when(~same(r["track"]["bean_ref"]), F.lit("record and track bean references differ")),
+        F.when(~same(r["track"]["bean_ref"]), F.lit("track names another bean than its record")),
         prediction_problem(r["prediction"]),
         F.when(
             r["prediction"].isNotNull() & ~same(r["prediction"]["bean_ref"]),
-            F.lit("record and prediction bean references differ"),
+            F.lit("prediction names another bean than its record"),
         ),
         F.when(enrichments, F.lit("enrichment is malformed")),
         F.when(r["decision"].isNotNull(), decision_problem(r["decision"])),
