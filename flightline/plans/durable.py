@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
