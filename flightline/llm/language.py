@@ -113,10 +113,9 @@ class Classifier:
 
     def classify(self, text: str | None, min_margin: float) -> tuple[str, float, bool]:
         """Language, score (share saved against the runner-up, 0 to 1) and whether it is rejected."""
-        data = folded(text).encode()
-        if not data or not self.names:
+        if not self.names or not any(map(str.isalpha, text or "")):
             return UNKNOWN, 0.0, True
-        data += b" "
+        data = folded(text).encode() + b" "
         blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self._compressors]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))

@@ -62,6 +62,8 @@ def test_language_odd_rows(odd, nothing):
     assert {r.lang_pred for r in language.identify(odd, []).collect()} == {"und"}
     assert language.identify(nothing, learned).collect() == []
     assert language.train(odd.filter("lang is null")) == []
+    model = language.Classifier(learned)
+    assert [model.classify(t, 0.002)[0] for t in ("² Ⅷ 12_", "x²", "")] == ["und", "en", "und"]
 
 
 def test_language_model_base_and_gain(spark, sf_dir, documents):
