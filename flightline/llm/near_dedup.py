@@ -42,15 +42,17 @@ from flightline.plans.durable import durable
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 SKETCH = 64
-#: Shared values that a linked pair of large documents has at least (48 expected, deviation 3.5).
-LEAST_SHARED = 30
+#: Shared values that a linked pair of large documents has at least (48 expected, deviation 3.5; fewer
+#: than this once in 4e7).
+LEAST_SHARED = 28
 PIVOT_ROUNDS = 2
 #: Lists with at most so many open pairs are compared by a join, the others in blocks of rows with
-#: sketches of ``WIDE`` values; linked pairs share 219 of them, with a deviation of 5.6.
+#: sketches of ``WIDE`` values. Of the ``WIDE`` smallest values of their union linked pairs share 192
+#: or more, whatever the sizes of the two (deviation 6.9), and under ``WIDE_SHARED`` less than once in 1e7.
 PAIRS_JOINED = 1_000
 BLOCK_ROWS = 2_048
 WIDE = 256
-WIDE_SHARED = 188
+WIDE_SHARED = 153
 
 _EMPTY = "array<bigint>"
 
@@ -179,6 +181,14 @@ def _ordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
     ).distinct()
 
 
+def _common_in_union(left: np.ndarray, right: np.ndarray) -> int:
+    """Values of both wide sketches among the ``WIDE`` smallest of their union."""
+    values = np.sort(np.concatenate([left, right]))
+    twice = values[1:] == values[:-1]
+    # A value's place in the union is its place in the list less the repetitions before it.
+    return int(np.count_nonzero(twice[np.arange(len(twice)) - np.cumsum(twice) + twice < WIDE]))
+
+
 def _matches(minors: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a block that are linked, or that sketches of ``WIDE`` values cannot tell from it.
 
@@ -193,6 +203,7 @@ def _matches(minors: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(values, kind="stable")
         values, owners = values[order], np.repeat(np.arange(len(others)), kept)[order]
         labels, names, lists = others["label"].to_numpy(), others["c"].to_numpy(), others["lists"].to_numpy()
+        wide = others["wide"].to_numpy()
         for c, label, n, own, mine in zip(
             minors["c"], minors["label"], minors["n"], minors["wide"], minors["lists"], strict=True
         ):
@@ -210,7 +221,9 @@ def _matches(minors: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
                 100 * np.minimum(n, sizes) >= SIMILAR_PERCENT * np.maximum(n, sizes)
             )
             found += [
-                (c, names[h], False) for h in np.nonzero(apart & likely)[0] if np.intersect1d(mine, lists[h])[0] == v
+                (c, names[h], False)
+                for h in np.nonzero(apart & likely)[0]
+                if _common_in_union(own, wide[h]) >= WIDE_SHARED and np.intersect1d(mine, lists[h])[0] == v
             ]
     return pd.DataFrame(
         {

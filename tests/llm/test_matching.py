@@ -176,6 +176,29 @@ def test_lists_compared_in_blocks(spark, monkeypatch):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_blocks_link_cut_and_extended_texts(spark, monkeypatch):
+    """Pairs of long texts of which one is the other cut down, close to the border, by blocks alone."""
+    monkeypatch.setattr(near_dedup, "PAIRS_JOINED", 0)
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 0)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for k in range(40):
+        whole = [word() for _ in range(draw.choice([360, 600, 1_000]))]
+        share = (0.73, 0.755, 0.76, 0.77)[k % 4]
+        texts += [" ".join(whole), " ".join(whole[: int(share * len(whole)) + 4])]
+    rows = list(enumerate(texts))
+    check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_common_values_of_the_union_sketch():
+    draw = np.random.default_rng(3)
+    for n, m in ((300, 300), (256, 40), (1, 1), (0, 5), (900, 700)):
+        left, right = (np.unique(draw.integers(0, 1_200, k))[: near_dedup.WIDE] for k in (n, m))
+        union = np.union1d(left, right)[: near_dedup.WIDE]
+        assert near_dedup._common_in_union(left, right) == len(set(union) & set(left) & set(right))
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     found = sorted(((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()), key=repr)
     _, sizes = brute.components({(r.doc_id or -1): r.text for r in odd.collect()}.items())
