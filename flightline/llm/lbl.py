@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH = 16
-NOISE = 24
+WIDTH = 24
+NOISE = 32
 BATCH = 512
-RATE = 0.2
+RATE = 0.15
 
 
 @dataclass

@@ -92,6 +92,12 @@ def test_language_model_is_normalised():
         assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_language_model_capacity():
+    """Narrower vectors and fewer noise classes cost held-out score on every input."""
+    assert (lbl.WIDTH, lbl.NOISE, lbl.RATE) == (24, 32, 0.15)
+    assert lbl.Model.start(np.full(4, 0.25)).inputs.shape == (4, 24)
+
+
 def test_language_model_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = lm.score_documents(odd, F.col("doc_id") != 5).collect()
