@@ -2,8 +2,8 @@
 
 Tokens are the words of a text, A-Z folded, then one end token. Counting covers every training text:
 a table of all words with their counts stays distributed; words with at least 1 in ``FREQUENT``
-training tokens (so ``FREQUENT`` words at most) go to the tasks, counts of all others meet the texts
-in one join. The model predicts the class of a token from the classes of the two tokens before it.
+training tokens (so ``FREQUENT`` words at most) and the end token, whatever its share, go to the tasks,
+counts of all others meet the texts in one join. The model predicts the class of a token from the classes of the two tokens before it.
 ``TOP_WORDS`` words are classes of their own, other words fall into ``BUCKETS`` buckets by their first
 letters; inside a bucket a word has its smoothed share of the bucket's training tokens.
 
@@ -102,7 +102,7 @@ def known_words(counts: DataFrame) -> Words:
     tokens, distinct = totals["n"] or 0, totals["v"]
     frequent = [
         (row["word"], row["c"])
-        for row in counts.filter(F.col("c") * FREQUENT >= tokens)
+        for row in counts.filter((F.col("c") * FREQUENT >= tokens) | (F.col("word") == END))
         .orderBy(F.desc("c"), "word")
         .collect()
     ]

@@ -113,6 +113,18 @@ def test_language_model_odd_rows(odd, nothing):
     assert {(r.base_score, r.score, r.n_known) for r in none} == {(0.0, None, 0)}
 
 
+def test_language_model_with_rare_ends(spark, monkeypatch):
+    """Training texts so long that the end token has less than the share of a frequent word."""
+    monkeypatch.setattr(lm, "FREQUENT", 3)
+    rows = [(1, "a a a a a b b b b c"), (2, "a b c d"), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score_documents(table, F.col("doc_id") == 1).collect()}
+    _, _, want = brute.unigram_scores([t for _, t in rows], [True, False, False])
+    for (i, _), (tokens, known, base) in zip(rows, want, strict=True):
+        assert (found[i].n_tokens, found[i].n_known) == (tokens, known)
+        assert found[i].base_score == pytest.approx(base, rel=1e-9)
+
+
 def brute_candidates(text):
     return [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9_+/=.~-]{16,}", (text or "").replace("\x01", " ").replace("\x02", " "))]
 
