@@ -5,13 +5,14 @@ count and link density, those of the blocks before and after it, and by where it
 article, inside a container that names itself a menu, advert, comment list and so on). A decision
 tree trained on a small labelled table of such blocks decides which blocks are main text.
 
-Scripts, styles, page heads, comments in the markup and form controls are never text. Character
+Scripts, styles, page heads, comments in the markup and form controls are never text. A head ends at its
+end tag or the first block-level tag, a control without an end tag at the next block-level tag. Character
 references are decoded, white space in a block becomes one space, blocks are trimmed and joined in
 page order by an empty line; nothing else is dropped or cut.
 
 Results for odd input: a null, empty or markup-free page gives the empty text, or its only block if
-that reads as prose; unclosed tags end where an enclosing block ends, an unclosed script or comment
-runs to the end of the page; pages of any length are read whole; repeated rows, null ids and null
+that reads as prose; unclosed tags end where an enclosing block ends; an unclosed script, style,
+title, text area, inline frame or comment runs to the end of the page; pages of any length are read whole; repeated rows, null ids and null
 URLs are carried through; other columns are not read; an empty table gives an empty result.
 """
 
@@ -38,9 +39,11 @@ BLOCK_TAGS = frozenset(
     "menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = (
-    "script style head title noscript template textarea select button iframe object svg canvas".split()
-)
+#: Raw text up to the end tag or, without one, the end of the page.
+HIDDEN_TAGS = "script style title textarea iframe".split()
+#: Hidden up to the end tag or, without one, the next block-level tag; the second kind does not nest.
+SHUT_TAGS = frozenset("noscript template select button object svg canvas".split())
+FLAT_TAGS = frozenset("noscript select button".split())
 
 # Fixed names: elements and words in class, id or role that announce text beside the article.
 BESIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
@@ -61,6 +64,7 @@ _TOKEN = re.compile(
     r"|</?[a-z!?][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
+_SHUT = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in SHUT_TAGS}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+")
 
@@ -91,6 +95,20 @@ def _announces_beside(attributes: str) -> bool:
     return False
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Start of every closed element of a name and the end of its end tag."""
+    found: dict[int, int] = {}
+    starts: list[int] = []
+    for tag in _SHUT[name].finditer(page):
+        if not tag[1]:
+            if name in FLAT_TAGS:
+                starts.clear()
+            starts.append(tag.start())
+        elif starts:
+            found[starts.pop()] = tag.end()
+    return found
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Flat text blocks of a page in page order; blocks without a character are left out."""
     page = page or ""
@@ -99,10 +117,11 @@ def blocks_of(page: str | None) -> list[Block]:
     open_: list[tuple[str, bool, bool]] = [("", False, False)]
     parts: list[str] = []
     linked: list[str] = []
-    in_link = False
+    in_link = muted = False
+    ends: dict[str, dict[int, int]] = {}
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not muted:
             parts.append(piece)
             if in_link:
                 linked.append(piece)
@@ -120,7 +139,7 @@ def blocks_of(page: str | None) -> list[Block]:
         linked.clear()
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         text(page[at : token.start()])
         at = token.end()
         name = (token["name"] or "").lower()
@@ -128,7 +147,21 @@ def blocks_of(page: str | None) -> list[Block]:
             if token["hidden"]:
                 text(" ")
             continue
-        if name == "a":
+        if name == "head":
+            muted = not token["close"]
+        elif name in SHUT_TAGS:
+            if token["close"]:
+                muted = False
+            elif not token["rest"].endswith("/"):
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                closed = ends[name].get(token.start())
+                text(" ")
+                if closed:
+                    at = closed
+                else:
+                    muted = True
+        elif name == "a":
             in_link = not token["close"]
         elif name == "br":
             text(" ")
@@ -136,7 +169,7 @@ def blocks_of(page: str | None) -> list[Block]:
             block = name in BLOCK_TAGS
             if block:
                 end_block()
-                in_link = False
+                in_link = muted = False
             if token["close"]:
                 depth = next((d for d in range(len(open_) - 1, 0, -1) if open_[d][0] == name), 0)
                 if depth:

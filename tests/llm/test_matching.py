@@ -118,6 +118,21 @@ def test_main_text_of_pages(spark):
     assert html.main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<html><head><title>x</title><meta charset=a>stray<body>", ""),
+        ("<head><title>x</title>", ""),
+        *[(f"<div><{tag}>Go on</div>", "") for tag in ("button", "select", "object", "canvas", "svg", "template", "noscript")],
+        ("<body><button>Go", "<button>Stop</button>"),
+        ("<div><object>a<object><p>b</p></object><p>c</p></object></div>", ""),
+    ],
+)
+def test_main_text_after_tags_left_open(before, after):
+    article = f"<article><h1>Title</h1><p>{ARTICLE}</p><p>See <button>this</button> too.</p></article>"
+    assert html.main_text(before + article + after) == html.main_text(article) != ""
+
+
 def test_article_blocks_of_the_page_table(spark, sf_dir):
     """Pages hold one article; every word inside it is main text, nothing outside is."""
     for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
