@@ -35,8 +35,9 @@ BLOCK_QUERIES = 4_096
 LEAF_ROWS = 128
 RELAXATION = 1.0
 
-#: Rounding allowance on distances between unit vectors.
+#: Rounding allowance on distances between unit vectors, and on their cosines.
 _SLACK = 1e-7
+_ROUNDING = 1e-12
 
 
 @dataclass
@@ -77,8 +78,18 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 class _Search:
     """Best cosines of a block of queries against one shard, all queries of a node at once."""
 
-    def __init__(self, unit: np.ndarray, queries: np.ndarray, k: int, relaxation: float) -> None:
+    def __init__(
+        self,
+        unit: np.ndarray,
+        queries: np.ndarray,
+        k: int,
+        relaxation: float,
+        originals: tuple[np.ndarray, np.ndarray],
+        smallest: np.ndarray,
+    ) -> None:
+        """``originals`` are rows and queries as given, ``smallest`` the smallest id of every row."""
         self.unit, self.queries, self.k, self.relaxation = unit, queries, k, relaxation
+        self.originals, self.smallest = originals, smallest
         self.best = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1, np.int64)
         self.bound = np.full(len(queries), -np.inf)
@@ -88,9 +99,20 @@ class _Search:
         names = np.concatenate([self.rows[asked], np.broadcast_to(rows, cosine.shape)], axis=1)
         if every.shape[1] > self.k:
             keep = np.argpartition(-every, self.k - 1, axis=1)[:, : self.k]
+            least = np.take_along_axis(every, keep, 1).min(axis=1) - _ROUNDING
+            tied = np.isfinite(least) & ((every >= least[:, None]).sum(axis=1) > self.k)
+            for at in np.nonzero(tied)[0]:
+                close = np.nonzero(every[at] >= least[at])[0]
+                keep[at] = close[self._ranked(asked[at], names[at, close])[: self.k]]
             every, names = np.take_along_axis(every, keep, 1), np.take_along_axis(names, keep, 1)
         self.best[asked], self.rows[asked] = every, names
 
+    def _ranked(self, query: int, rows: np.ndarray) -> np.ndarray:
+        """Order of rows whose cosines rounding cannot tell apart: exact score, then smallest id."""
+        vectors, queries = self.originals
+        score = exact_scores(np.broadcast_to(queries[query], (len(rows), queries.shape[1])), vectors[rows])
+        return np.lexsort((self.smallest[rows], -score))
+
     def descend(self, tree: Tree, asked: np.ndarray) -> None:
         """A first bound: the k-th best cosine in the one leaf that each query falls into."""
         if not len(asked):
@@ -159,7 +181,7 @@ def search_shard(
     scale = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
     unit, asked = scale(distinct), scale(queries)
     # More than k: the query's own rows may be among them.
-    search = _Search(unit, asked, most, relaxation)
+    search = _Search(unit, asked, most, relaxation, (distinct, queries), ids[starts])
     tree, every = build_tree(unit, np.arange(len(unit))), np.arange(len(queries))
     search.descend(tree, every)
     search.visit(tree, every)

@@ -44,6 +44,20 @@ def test_neighbours_recall(spark, relaxation, recall):
     assert hits >= recall * 5 * 60
 
 
+def test_neighbours_tied_in_one_direction(spark):
+    """Many different vectors of one direction: exact scores, then smaller ids, decide."""
+    draw = np.random.default_rng(6)
+    scales = np.concatenate([2.0 ** draw.integers(-9, 9, 300), draw.permutation(np.arange(1, 301))])
+    vectors = draw.permutation(scales)[:, None] * np.array([[1.0, 2.0, 3.0]])
+    vectors[::3, 0] *= -1
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], VECTORS)
+    found = {}
+    for r in neighbours.nearest(table, lambda i: i % 50 == 0, k=5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 600, 50):
+        assert [(i, s) for _, i, s in sorted(found[q])] == brute_neighbours(np.arange(600), vectors, q, 5)
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
