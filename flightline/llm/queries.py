@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import html, language, lm, near_dedup, neighbours, packing, pieces, quality, secrets, urls
+from flightline.llm import bytepairs, html, language, lm, near_dedup, neighbours, packing, pieces, quality, secrets, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 # Fixed rules of the URL query.
 URL_RULES = (
@@ -93,6 +94,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    ids = bytepairs.encode_documents(docs, MULTI_BPE, public_tokenizers.PATTERN).drop("text")
+    return bytepairs.decode_documents(ids, MULTI_BPE).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bytepairs.packed_ids(F.col("ids"), MULTI_BPE), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -104,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
+    "op11_bpe": op11_bpe,
 }
 
 _OP6 = r"""
