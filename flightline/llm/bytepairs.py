@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from flightline.plans.durable import durable
 
 #: Common words at most.
-COMMON_WORDS = 1 << 19
+COMMON_WORDS = 1 << 18
 #: Bytes up to which a word can be common and is merged one pair at a time.
 SHORT_BYTES = 64
 
