@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bytepairs, html, language, lm, near_dedup, neighbours, packing, pieces, quality, secrets, urls
+from flightline.llm import bytepairs, html, language, lm, merkle, near_dedup, neighbours, packing, pieces, quality, secrets, urls
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -105,6 +105,14 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(read_table(spark, sf_dir, "documents", list(merkle.COLUMNS)))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
     "op11_bpe": op11_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 _OP6 = r"""
@@ -183,4 +192,78 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles,
 FROM s LEFT JOIN c ON s.doc_id = c.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_neighbours": _OP3, "op6_urls": _OP6, "op10_near_dedup": _OP10}
+# crc32 of a list of bytes, as 256 table entries and a fold.
+_CRC = """
+crc(t) AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(
+  list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))
+"""
+_CRC_OF = """
+xor(list_reduce(list_prepend(4294967295, {bytes}),
+  lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)
+"""
+
+_OP13 = (
+    "WITH RECURSIVE " + _CRC + """,
+named AS (
+  SELECT doc_id, source, text, coalesce('=' || source, '') AS k,
+    coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-')
+    || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+    || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+    coalesce(replace(text, chr(10), ''), '') AS bare,
+    """ + _CRC_OF.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)") + """ % 2 = 0 AS bad
+  FROM documents JOIN crc ON true),
+leaves AS MATERIALIZED (
+  SELECT doc_id, k, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS d,
+    sha256(head || CASE WHEN text IS NULL THEN '-' WHEN bad THEN strlen(bare)::VARCHAR || ':' || bare
+                   ELSE strlen(text)::VARCHAR || ':' || text END) AS changed,
+    row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n
+  FROM named),
+nodes(k, lvl, pos, d, n) AS (
+  SELECT k, 0, pos, d, n FROM leaves
+  UNION ALL
+  SELECT k, lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY k, lvl, pos // 3, n),
+subroots AS (
+  SELECT k, d, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, d, n) AS (
+  SELECT 0, pos, d, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (n + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n),
+everything AS MATERIALIZED (
+  SELECT k, lvl, pos, d, n FROM nodes UNION ALL SELECT NULL, lvl, pos, d, n FROM tops),
+sides AS MATERIALIZED (
+  SELECT a.k, a.lvl, a.pos,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM everything a JOIN everything b
+    ON a.k IS NOT DISTINCT FROM b.k AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.k, a.lvl, a.pos),
+low(doc_id, k, lvl, pos, cur, proof) AS (
+  SELECT doc_id, k, 0, pos, changed, '' FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.k, w.lvl + 1, w.pos // 3, sha256(s.l || w.cur || s.r), w.proof || s.l || s.r
+  FROM low w JOIN sides s ON s.k = w.k AND s.lvl = w.lvl AND s.pos = w.pos),
+joined AS (
+  SELECT w.doc_id, s.d AS subroot, s.pos, w.cur, w.proof,
+    row_number() OVER (PARTITION BY w.doc_id ORDER BY w.lvl DESC) AS last
+  FROM low w JOIN subroots s ON s.k = w.k),
+high(doc_id, lvl, pos, subroot, cur, proof) AS (
+  SELECT doc_id, 0, pos, subroot, cur, proof FROM joined WHERE last = 1
+  UNION ALL
+  SELECT w.doc_id, w.lvl + 1, w.pos // 3, w.subroot, sha256(s.l || w.cur || s.r), w.proof || s.l || s.r
+  FROM high w JOIN sides s ON s.k IS NULL AND s.lvl = w.lvl AND s.pos = w.pos),
+ends AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) AS last FROM high)
+SELECT l.doc_id, l.d AS leaf, e.subroot, (SELECT d FROM tops WHERE n = 1) AS root, sha256(e.proof) AS proof_sha256,
+       e.cur AS folded_root, e.cur = (SELECT d FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN ends e ON e.doc_id = l.doc_id AND e.last = 1
+"""
+)
+
+ORACLES: dict[str, str] = {
+    "op3_neighbours": _OP3,
+    "op6_urls": _OP6,
+    "op10_near_dedup": _OP10,
+    "op13_merkle": _OP13,
+}
