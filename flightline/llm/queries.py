@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bytepairs, html, language, lm, merkle, near_dedup, neighbours, packing, pieces, quality, secrets, urls
+from flightline.llm import bytepairs, html, language, lm, merkle, near_dedup, neighbours, packing, pieces, quality, secrets, urls, variants
 from flightline.llm.text import id_remainder, read_table
 from flightline.plans.durable import durable
 
@@ -105,6 +105,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(read_table(spark, sf_dir, "documents", list(merkle.COLUMNS)))
     return found.select(
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_near_dedup": op10_near_dedup,
     "op11_bpe": op11_bpe,
+    "op12_variants": op12_variants,
     "op13_merkle": op13_merkle,
 }
 
@@ -202,6 +207,54 @@ xor(list_reduce(list_prepend(4294967295, {bytes}),
   lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)
 """
 
+_OP12 = (
+    "WITH RECURSIVE " + _CRC + """,
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+hashed AS (
+  SELECT run, coalesce(""" + _CRC_OF.format(
+        bytes="""flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x:
+    CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [(192 + (ord(x) >> 6))::BIGINT, (128 + (ord(x) & 63))::BIGINT] END))"""
+    ) + """, 1) AS h
+  FROM runs JOIN crc ON true WHERE length(run) >= 7),
+v AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0
+      THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+less AS MATERIALIZED (
+  SELECT word, n, at, substr(word, 1, at - 1) || substr(word, at + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS at FROM v)),
+replaced AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n
+  FROM less a JOIN less b ON a.at = b.at AND a.rest = b.rest AND a.word <> b.word),
+shorter AS (SELECT DISTINCT l.word, l.n, v.word AS near, v.n AS near_n FROM less l JOIN v ON v.word = l.rest),
+pairs AS MATERIALIZED (
+  SELECT word, near, near_n FROM replaced
+  UNION ALL SELECT word, near, near_n FROM shorter
+  UNION ALL SELECT near, word, n FROM shorter),
+best AS (
+  SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place,
+    count(*) OVER (PARTITION BY word) AS n_near
+  FROM pairs),
+named AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN b.near_n >= 10 * v.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 10 * v.n THEN b.near_n END AS form_n
+  FROM v LEFT JOIN best b ON b.word = v.word AND b.place = 1),
+follow(word, at, step) AS (
+  SELECT word, form, 1 FROM named WHERE form IS NOT NULL
+  UNION ALL
+  SELECT f.word, n.form, f.step + 1 FROM follow f JOIN named n ON n.word = f.at AND n.form IS NOT NULL),
+ends AS (SELECT word, arg_max(at, step) AS root FROM follow GROUP BY word)
+SELECT n.word, n.n, n.n_near, n.form, n.form_n, coalesce(e.root, n.word) AS root
+FROM named n LEFT JOIN ends e ON e.word = n.word
+"""
+)
+
 _OP13 = (
     "WITH RECURSIVE " + _CRC + """,
 named AS (
@@ -265,5 +318,6 @@ ORACLES: dict[str, str] = {
     "op3_neighbours": _OP3,
     "op6_urls": _OP6,
     "op10_near_dedup": _OP10,
+    "op12_variants": _OP12,
     "op13_merkle": _OP13,
 }
