@@ -226,11 +226,11 @@ v AS MATERIALIZED (
     FROM hashed)
   WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
 less AS MATERIALIZED (
-  SELECT word, n, at, substr(word, 1, at - 1) || substr(word, at + 1) AS rest
-  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS at FROM v)),
+  SELECT word, n, gap, substr(word, 1, gap - 1) || substr(word, gap + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS gap FROM v)),
 replaced AS (
   SELECT DISTINCT a.word, b.word AS near, b.n AS near_n
-  FROM less a JOIN less b ON a.at = b.at AND a.rest = b.rest AND a.word <> b.word),
+  FROM less a JOIN less b ON a.gap = b.gap AND a.rest = b.rest AND a.word <> b.word),
 shorter AS (SELECT DISTINCT l.word, l.n, v.word AS near, v.n AS near_n FROM less l JOIN v ON v.word = l.rest),
 pairs AS MATERIALIZED (
   SELECT word, near, near_n FROM replaced
@@ -245,11 +245,11 @@ named AS MATERIALIZED (
     CASE WHEN b.near_n >= 10 * v.n THEN b.near END AS form,
     CASE WHEN b.near_n >= 10 * v.n THEN b.near_n END AS form_n
   FROM v LEFT JOIN best b ON b.word = v.word AND b.place = 1),
-follow(word, at, step) AS (
+follow(word, here, step) AS (
   SELECT word, form, 1 FROM named WHERE form IS NOT NULL
   UNION ALL
-  SELECT f.word, n.form, f.step + 1 FROM follow f JOIN named n ON n.word = f.at AND n.form IS NOT NULL),
-ends AS (SELECT word, arg_max(at, step) AS root FROM follow GROUP BY word)
+  SELECT f.word, n.form, f.step + 1 FROM follow f JOIN named n ON n.word = f.here AND n.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, step) AS root FROM follow GROUP BY word)
 SELECT n.word, n.n, n.n_near, n.form, n.form_n, coalesce(e.root, n.word) AS root
 FROM named n LEFT JOIN ends e ON e.word = n.word
 """
