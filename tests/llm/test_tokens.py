@@ -118,3 +118,16 @@ def test_marked_words_with_every_kind_of_space(spark):
 
 def test_pieces_of_an_empty_table(nothing):
     assert pieces.encode_documents(nothing, PIECES).collect() == []
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "　", "a", "7", "#", "é"])
+def test_packing_takes_two_million_equal_characters(spark, sign):
+    size = 2_000_000 if sign in " \n" else 200_000
+    text = "x" + sign * size + "y"
+    library = Tokenizer.from_file(BYTES)
+    encoding, special = packing.tokenizer(BYTES, public_tokenizers.PATTERN)
+    want = [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert packing.document_ids(text, encoding, special, BYTES).tolist() == want
+    if sign == " ":
+        found = queries.packed(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert sum(r.length for r in found) == len(want) and {r.doc_tokens for r in found} == {len(want)}
