@@ -7,12 +7,13 @@ whole text wins. When the runner-up is closer than ``min_margin`` of its size, t
 (the prediction is still reported).
 
 ``SAMPLE_DOCS`` documents a language at most, taken in the order of a hash of their id, fill a
-dictionary of ``DICTIONARY_BYTES`` at most; each gives its first ``SAMPLE_CHARS`` folded characters.
-Only the dictionaries are bounded, predictions read whole texts.
+dictionary of ``DICTIONARY_BYTES`` at most. Of a long document ``SLICES`` slices are read, spread
+evenly over the whole text; every sampled document gives the same share of the dictionary, or all it
+has where that is less. Only the dictionaries are bounded, predictions read whole texts.
 
 Results for odd input: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 a tie goes to the language with more labelled rows, then to the smaller name, and is rejected;
-labelled rows with a null id, text or language are not learned from; without any labelled row every
+labelled rows with a null id, text or language are not learned from, repeated ones once; without any labelled row every
 text is ``und``; repeated rows, null ids, extra columns and texts of any length are carried through.
 """
 
@@ -25,13 +26,15 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 1_000
+#: Slices of a sampled text and characters of each, before folding.
+SLICES = 8
+SLICE_CHARS = 500
 DICTIONARY_BYTES = 250_000
 BLOCK_BYTES = 8_192
 LEVEL = 3
@@ -51,26 +54,45 @@ def sample_per_language(labelled: DataFrame, *, doc_id: str, text: str, lang: st
     usable = labelled.filter(
         F.col(doc_id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()
     )
+    # A repeated row is one key.
     ranked = usable.select(
-        F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h")
-    )
+        F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h"), F.xxhash64(text).alias("t")
+    ).distinct()
     # Salted first: a language that holds most rows is cut down in many tasks.
     for keys in (("lang", "salt"), ("lang",)):
-        window = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        window = Window.partitionBy(*keys).orderBy("h", "doc_id", "t")
         ranked = (
             ranked.withColumn("salt", F.pmod("h", F.lit(_SALTS)))
             .withColumn("rank", F.row_number().over(window))
             .filter(F.col("rank") <= SAMPLE_DOCS)
         )
-    texts = usable.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(lang).alias("lang"),
-        # Folding drops characters, so four times the wanted number is enough to take along.
-        F.substring(text, 1, 4 * SAMPLE_CHARS).alias("sample"),
+    # At most SAMPLE_DOCS keys a language; rows with the same key hold the same text.
+    keys = F.broadcast(ranked.select("lang", "doc_id", "h", "t"))
+    each = usable.select(
+        F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), _slices(text).alias("slices")
+    )
+    return each.join(keys, ["lang", "doc_id", "t"]).groupBy("lang", "h", "doc_id", "t").agg(F.first("slices").alias("slices"))
+
+
+def _slices(text: str) -> Column:
+    """Slices spread evenly over a text, or the whole of a short one."""
+    long = F.length(text) > SLICES * SLICE_CHARS
+    step = (F.length(text) - SLICE_CHARS) / (SLICES - 1)
+    spread = F.array(
+        *[F.substring(F.col(text), F.floor(step * i).cast("int") + 1, F.lit(SLICE_CHARS)) for i in range(SLICES)]
     )
-    # At most SAMPLE_DOCS ids a language.
-    ids = F.broadcast(ranked.select("doc_id", "lang", "h"))
-    return texts.join(ids, ["doc_id", "lang"])
+    return F.when(long, spread).otherwise(F.array(text))
+
+
+def even_share(sizes: Sequence[int], most: int) -> int:
+    """The largest share of which every size gives at most so much, all together ``most``."""
+    left = most
+    for given, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - given)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
 
 
 def train(
@@ -84,12 +106,17 @@ def train(
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     }
-    content: dict[str, list[bytes]] = {}
+    content: dict[str, list[list[bytes]]] = {}
     rows = sample_per_language(labelled, doc_id=doc_id, text=text, lang=lang).collect()
-    for row in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["sample"])):
-        content.setdefault(row["lang"], []).append((folded(row["sample"])[:SAMPLE_CHARS] + " ").encode())
+    for row in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["t"])):
+        content.setdefault(row["lang"], []).append([(folded(part) + " ").encode() for part in row["slices"]])
     order = sorted(content, key=lambda name: (-counts.get(name, 0), name))
-    return [(name, b"".join(content[name])[:DICTIONARY_BYTES]) for name in order]
+    return [(name, _dictionary(content[name])) for name in order]
+
+
+def _dictionary(documents: Sequence[Sequence[bytes]]) -> bytes:
+    share = even_share([sum(map(len, parts)) for parts in documents], DICTIONARY_BYTES)
+    return b"".join(part[: share // len(parts)] for parts in documents for part in parts)
 
 
 class Classifier:

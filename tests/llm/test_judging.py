@@ -165,3 +165,20 @@ def test_secrets_odd_rows(spark, odd, nothing):
     assert [f.secret for f in row.findings] == [key, key]
     assert row.redacted == f'  token = "{secrets.REDACTED}" x  token = "{secrets.REDACTED}"'
     assert secrets.findings(nothing).collect() == []
+
+
+def test_language_sample_is_bounded_for_repeated_ids(spark):
+    rows = [(1, f"text number {i} of one id", "en") for i in range(1_000)] + [(2, "ein Text", "de")] * 1_000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = language.sample_per_language(table, doc_id="doc_id", text="text", lang="lang").collect()
+    assert sorted(r.lang for r in sample) == ["de"] + ["en"] * language.SAMPLE_DOCS
+
+
+def test_language_slices_cover_a_text_and_share_the_dictionary(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(9_000))
+    table = spark.createDataFrame([(1, text, "zh"), (2, "kurz", "de")], "doc_id long, text string, lang string")
+    slices = {r.lang: r.slices for r in language.sample_per_language(table, doc_id="doc_id", text="text", lang="lang").collect()}
+    assert slices["de"] == ["kurz"]
+    assert slices["zh"][0] == text[:500] and slices["zh"][-1] == text[-500:] and len(slices["zh"]) == language.SLICES
+    assert language.even_share([5, 100, 100], 105) == 50 and language.even_share([5, 6], 100) == 6
+    assert language.even_share([], 10) == 0
