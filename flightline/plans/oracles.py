@@ -315,24 +315,18 @@ bean_now AS (
          arg_max(updated_ts, revision) AS updated_timestamp_ns
   FROM jr GROUP BY run_id, sequence),
 decision_now AS (
-  SELECT d_id AS decision_id, arg_min(run_id, stream_sequence) AS run_id,
-         arg_min(sequence, stream_sequence) AS sequence,
-         arg_max(revision, stream_sequence) AS registry_revision,
-         arg_max(coalesce(d_ack, -1), stream_sequence) AS ack
-  FROM jr WHERE d_id IS NOT NULL GROUP BY d_id),
+  SELECT run_id, sequence, d_id AS decision_id,
+         max(revision) AS registry_revision, arg_max(coalesce(d_ack, -1), revision) AS ack
+  FROM jr WHERE d_id IS NOT NULL GROUP BY run_id, sequence, d_id),
 first_decision AS (
-  SELECT part_id AS decision_id, arg_min(ts, stream_sequence) AS timestamp_ns,
-         arg_min((k % 5) || ',' || (cents % 5 + 3), stream_sequence) AS gate_indices
-  FROM jr WHERE kind = 'sorting.decision' GROUP BY part_id),
+  SELECT run_id, sequence, part_id AS decision_id, arg_min(ts, revision) AS timestamp_ns,
+         arg_min((k % 5) || ',' || (cents % 5 + 3), revision) AS gate_indices
+  FROM jr WHERE kind = 'sorting.decision' GROUP BY run_id, sequence, part_id),
 enrich_now AS (
-  SELECT part_id AS result_id, arg_min(run_id, stream_sequence) AS run_id,
-         arg_min(sequence, stream_sequence) AS sequence,
-         arg_min(revision, stream_sequence) AS registry_revision,
-         arg_min(['defect', 'size', 'note'][1 + k % 3], stream_sequence) AS kind,
-         arg_min('{"cents":' || cents || '}', stream_sequence) AS value_json,
-         arg_min(ts, stream_sequence) AS timestamp_ns,
-         arg_min((cents % 120) / 100E0, stream_sequence) AS confidence
-  FROM jr WHERE kind = 'enrichment.added' GROUP BY part_id)
+  SELECT part_id AS result_id, run_id, sequence, revision AS registry_revision,
+         ['defect', 'size', 'note'][1 + k % 3] AS kind, '{"cents":' || cents || '}' AS value_json,
+         ts AS timestamp_ns, (cents % 120) / 100E0 AS confidence
+  FROM jr WHERE kind = 'enrichment.added')
 """
 
 _EVENT_COLUMNS = "stream_sequence, event_id, kind, run_id, sequence, revision, ts AS timestamp_ns"
@@ -533,7 +527,7 @@ def build() -> dict[str, str]:
     sql["decisions_current"] = folded(
         "SELECT decision_id, run_id, sequence, registry_revision, timestamp_ns, gate_indices, "
         "nullif(ack, -1) AS acknowledged_timestamp_ns "
-        "FROM decision_now JOIN first_decision USING (decision_id)"
+        "FROM decision_now JOIN first_decision USING (run_id, sequence, decision_id)"
     )
     sql["enrichments_first"] = folded("SELECT * FROM enrich_now")
     sql["enrichments_by_kind"] = folded(
@@ -567,6 +561,23 @@ def build() -> dict[str, str]:
         "LEFT JOIN (SELECT run_id, sequence, count(DISTINCT command_seq // 3) AS n FROM jr "
         "WHERE op = 'T' GROUP BY ALL) o USING (run_id, sequence)"
     )
+    sql["two_part_fold"] = folded(
+        "SELECT 'sessions' AS table_name, run_id, CAST(NULL AS BIGINT) AS sequence, CAST(NULL AS VARCHAR) AS item, "
+        "CAST(NULL AS BIGINT) AS revision, CAST(min(created_ts) AS VARCHAR) AS value FROM jr GROUP BY run_id "
+        "UNION ALL SELECT 'beans', run_id, sequence, status, revision, CAST(updated_timestamp_ns AS VARCHAR) FROM bean_now "
+        "UNION ALL SELECT 'track_states', run_id, sequence, bean_status, revision, CAST(ts AS VARCHAR) FROM jr WHERE op = 'T' "
+        "UNION ALL SELECT 'observations', run_id, sequence, CAST(command_seq // 3 AS VARCHAR), NULL, "
+        "CAST(arg_min(ts, revision) AS VARCHAR) FROM jr WHERE op = 'T' GROUP BY run_id, sequence, command_seq // 3 "
+        "UNION ALL SELECT 'enrichments', run_id, sequence, result_id, registry_revision, value_json FROM enrich_now "
+        "UNION ALL SELECT 'sorting_decisions', run_id, sequence, decision_id, registry_revision, "
+        "CAST(nullif(ack, -1) AS VARCHAR) FROM decision_now "
+        "UNION ALL SELECT 'registry_events', run_id, sequence, event_id, revision, CAST(stream_sequence AS VARCHAR) FROM jr"
+    )
+    sql["replayed_log"] = folded(
+        "SELECT c.run_id, CASE WHEN c.content = o.content AND NOT c.broken THEN 'duplicate' ELSE 'rejected' END "
+        "AS outcome, count(*) AS commands FROM cmd c JOIN (SELECT jr.event_id, cmd.content FROM jr JOIN cmd "
+        "USING (command_seq)) o ON o.event_id = c.event_id GROUP BY ALL"
+    )
     sql["audit_counts"] = folded(
         "SELECT 'sessions' AS table_name, count(DISTINCT run_id) AS row_count FROM jr "
         "UNION ALL SELECT 'beans', count(*) FROM bean_now "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,8 @@ from ..operators.tracking import (
     outside_birth_zone,
     track,
 )
-from ..registry import commands, fold, queries as ask, tables as reg
+from ..registry import commands, fold, queries as ask, store, tables as reg
+from .durable import durable, shared_folder
 from ..settings import DetectorSettings, GateLayout, TrackerSettings, sorting_line_y
 from ..sources import export
 from ..sources import recordings as rec
@@ -491,6 +493,51 @@ def records_current(spark, sf):
     )
 
 
+def _stored_rows(tables):
+    """Rows of the normalised tables in one shape: table, bean, item, revision, value."""
+    none = F.lit(None)
+
+    def rows(name, item, revision, value, sequence=F.col("sequence")):
+        return tables[name].select(
+            F.lit(name).alias("table_name"), "run_id", sequence.cast("long").alias("sequence"),
+            item.cast("string").alias("item"), revision.cast("long").alias("revision"),
+            value.cast("string").alias("value"),
+        )
+
+    c = F.col
+    parts = [
+        rows("sessions", none, none, c("created_timestamp_ns"), none),
+        rows("beans", c("status"), c("revision"), c("updated_timestamp_ns")),
+        rows("track_states", c("status"), c("registry_revision"), c("timestamp_ns")),
+        rows("observations", c("frame_index"), none, c("timestamp_ns")),
+        rows("enrichments", c("result_id"), c("registry_revision"), c("value_json")),
+        rows("sorting_decisions", c("decision_id"), c("registry_revision"), c("acknowledged_timestamp_ns")),
+        rows("registry_events", c("event_id"), c("revision"), c("stream_sequence")),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def two_part_fold(spark, sf):
+    """The tables of a stored registry after two jobs, each with half of the command log."""
+    items = durable(_items(spark, sf))
+    middle = items.agg(F.expr("percentile_approx(command_seq, 0.5)")).first()[0]
+    stored = store.RegistryStore.create(spark, f"{shared_folder(spark)}/flightline-{uuid.uuid4().hex}", buckets=16)
+    stored.apply(items.where(F.col("command_seq") <= middle))
+    stored.apply(items.where(F.col("command_seq") > middle))
+    return _stored_rows({name: stored.table(name) for name in reg.TABLES})
+
+
+@query
+def replayed_log(spark, sf):
+    """The whole log sent again to a stored registry: outcomes of the commands whose id it has accepted."""
+    items = durable(_items(spark, sf))
+    stored = store.RegistryStore.create(spark, f"{shared_folder(spark)}/flightline-{uuid.uuid4().hex}", buckets=16)
+    accepted = stored.apply(items).where(F.col("outcome") == fold.APPLIED).select("event_id")
+    again = stored.apply(items).join(accepted, "event_id", "left_semi")
+    return again.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("commands"))
+
+
 @query
 def audit_counts(spark, sf):
     return reg.audit_counts(reg.normalise(_journal(spark, sf)))

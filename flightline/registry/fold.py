@@ -29,8 +29,17 @@ BEAN = ["run_id", "sequence"]
 _SLIM = (
     "run_id", "sequence", "command_seq", "item_no", "is_batch", "batch_failed", "batch_clash",
     "foreign_claim", "op", "event_id", "fingerprint", "problem", "static_error", "status", "ts", "first_ts",
-    "part_id", "part_hash", "ack_ts",
+    "part_id", "part_hash", "ack_ts", "stored_id", "stored_part_hash", "seed",
 )
+#: What an earlier fold left of a bean; such a row opens the bean's items and has no outcome.
+SEED = "seed"
+SEED_STATE = (
+    "STRUCT<revision: BIGINT, status: STRING, track_ts: BIGINT, created: BIGINT, updated: BIGINT, "
+    "decision_id: STRING, decision_hash: STRING, decision_ts: BIGINT, decision_ack: BIGINT>"
+)
+#: Whether an event id that an earlier fold accepted was used for the same command.
+SAME, OTHER = "same", "other"
+_STORED = {"stored_id": "string", "stored_part_hash": "string", "seed": SEED_STATE}
 OUTCOME_FIELDS = (
     "outcome string, error_type string, error_message string, revision bigint, kind string, "
     "bean_status string, created_ts bigint, updated_ts bigint"
@@ -60,6 +69,17 @@ class BeanState:
         self.results: dict[str, str] = {}
         self.seen: dict[str, str] = {}
 
+    @staticmethod
+    def seeded(row: dict) -> "BeanState":
+        state = BeanState()
+        for name in ("revision", "status", "track_ts", "created", "updated"):
+            setattr(state, name, row[name])
+        if row["decision_id"] is not None:
+            state.decision = tuple(
+                row["decision_" + name] for name in ("id", "hash", "ts", "ack")
+            )
+        return state
+
     def copy(self) -> "BeanState":
         other = BeanState()
         for name in self.__slots__:
@@ -93,7 +113,7 @@ def _track(state: BeanState, c: dict):
 
 
 def _enrich(state: BeanState, c: dict):
-    known = state.results.get(c["part_id"])
+    known = state.results.get(c["part_id"], c["stored_part_hash"])
     if known is not None:
         if known == c["part_hash"]:
             return NOOP, None, None, None
@@ -138,6 +158,9 @@ def apply_command(state: BeanState, c: dict) -> tuple:
     if c["static_error"] is not None:
         kind = CONFLICT if c["problem"] is None else INVALID
         result = (REJECTED, kind, c["static_error"], None)
+    elif c["stored_id"] is not None:
+        same = c["stored_id"] == SAME
+        result = (DUPLICATE, None, None, None) if same else (REJECTED, CONFLICT, REUSED_ID, None)
     elif c["batch_clash"] or c["foreign_claim"]:
         result = (REJECTED, CONFLICT, REUSED_ID, None)
     elif c["event_id"] in state.seen:
@@ -172,6 +195,9 @@ class FoldStream:
         bean = (c["run_id"], c["sequence"])
         if bean != self.bean:
             self.bean, self.state, self.saved, self.batch = bean, BeanState(), None, None
+        if c["op"] == SEED:
+            self.state = BeanState.seeded(c["seed"])
+            return (None,) * len(_OUTCOME_NAMES)
         if c["command_seq"] != self.batch:
             self._close_batch()
             self.batch = c["command_seq"]
@@ -267,14 +293,33 @@ def _flagged(items: DataFrame, failed: DataFrame, claims: DataFrame) -> DataFram
     )
 
 
-def fold_commands(items: DataFrame) -> DataFrame:
+def _seed_rows(seeds: DataFrame, like: DataFrame) -> DataFrame:
+    """One row per bean ahead of all commands, with the columns of the items."""
+    given = {
+        "run_id": F.col("run_id"), "sequence": F.col("sequence"), "seed": F.col("seed"),
+        "op": F.lit(SEED), "command_seq": F.lit(-(1 << 62)), "item_no": F.lit(0),
+        "is_batch": F.lit(False), "repeats_id": F.lit(False),
+    }
+    return seeds.select(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields]
+    )
+
+
+def fold_commands(items: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Outcome of every command item, as if all commands had run one after the other.
 
     The iteration only moves the narrow columns the rules look at; payloads stay in one written
     table and meet their outcome in a single join at the end.
+
+    To continue an earlier fold, ``seeds`` holds ``run_id``, ``sequence`` and ``seed``
+    (``SEED_STATE``) of the beans it left, and items carry ``stored_id`` (``same`` or ``other`` where
+    it accepted their event id) and ``stored_part_hash`` (where it accepted their result id).
     """
     items = durable(items)
-    slim = items.select(*_ITEM_COLUMNS)
+    missing = {n: F.lit(None).cast(kind) for n, kind in _STORED.items() if n not in items.columns}
+    slim = items.withColumns(missing).select(*_ITEM_COLUMNS)
+    if seeds is not None:
+        slim = slim.unionByName(_seed_rows(seeds, slim))
     shared = _shared_ids(slim).withColumn("_shared", F.lit(True))
     carried = durable(
         _with_batch_clash(
@@ -308,8 +353,10 @@ def fold_commands(items: DataFrame) -> DataFrame:
         )
         failed, claims = now_failed, now_claims
         if touched.isEmpty():
-            settled = _settle_batches(folded).select("command_seq", "item_no", *_OUTCOME_NAMES)
-            return items.drop("repeats_id", "problem", "static_error").join(
+            settled = _settle_batches(folded.where(F.col("op") != SEED)).select(
+                "command_seq", "item_no", *_OUTCOME_NAMES
+            )
+            return items.drop("repeats_id", "problem", "static_error", *_STORED).join(
                 settled, ["command_seq", "item_no"]
             )
         again = _fold_once(_flagged(carried.join(touched, BEAN, "left_semi"), failed, claims))

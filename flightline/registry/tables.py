@@ -68,15 +68,11 @@ def predictions(journal: DataFrame) -> DataFrame:
 
 
 def enrichments(journal: DataFrame) -> DataFrame:
-    """Insert-or-ignore on result_id: the first accepted owner keeps it."""
-    rows = journal.where(F.col("kind") == "enrichment.added")
-    kept = rows.groupBy(F.col("enrichment.result_id").alias("result_id")).agg(
-        F.min_by(F.struct(*BEAN, "revision", "enrichment"), "stream_sequence").alias("k")
-    )
-    e = F.col("k.enrichment")
-    return kept.select(
-        F.col("k.run_id").alias("run_id"), F.col("k.sequence").alias("sequence"), "result_id",
-        F.col("k.revision").alias("registry_revision"), e["source"].alias("source"),
+    """Every accepted enrichment: a bean takes a result_id once, and other beans may use it too."""
+    e = F.col("enrichment")
+    return journal.where(F.col("kind") == "enrichment.added").select(
+        *BEAN, e["result_id"].alias("result_id"),
+        F.col("revision").alias("registry_revision"), e["source"].alias("source"),
         e["kind"].alias("kind"), e["value_json"].alias("value_json"),
         e["timestamp_ns"].alias("timestamp_ns"), e["version"].alias("model_version"),
         e["confidence"].alias("confidence"),
@@ -84,7 +80,7 @@ def enrichments(journal: DataFrame) -> DataFrame:
 
 
 def sorting_decisions(journal: DataFrame) -> DataFrame:
-    """One row per decision_id: first content, then only revision and acknowledgement move.
+    """One row per bean and decision_id: first content, then only revision and acknowledgement move.
 
     A bean's later events keep touching its current decision, so the revision stored is that of
     the last event before another decision replaced it.
@@ -107,13 +103,13 @@ def sorting_decisions(journal: DataFrame) -> DataFrame:
             ),
         )
     )
-    kept = rows.groupBy(F.col("_d.decision_id").alias("decision_id")).agg(
-        F.min_by(F.struct(*BEAN, "_d"), "stream_sequence").alias("k"),
-        F.max_by(F.struct("revision", "_ack"), "stream_sequence").alias("last"),
+    kept = rows.groupBy(*BEAN, F.col("_d.decision_id").alias("decision_id")).agg(
+        F.min_by("_d", "revision").alias("d"),
+        F.max(F.struct("revision", "_ack")).alias("last"),
     )
-    d = F.col("k._d")
+    d = F.col("d")
     return kept.select(
-        "decision_id", F.col("k.run_id").alias("run_id"), F.col("k.sequence").alias("sequence"),
+        "decision_id", *BEAN,
         F.col("last.revision").alias("registry_revision"), d["source"].alias("source"),
         d["timestamp_ns"].alias("timestamp_ns"),
         d["actuation_timestamp_ns"].alias("actuation_timestamp_ns"),

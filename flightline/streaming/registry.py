@@ -91,7 +91,7 @@ class RegistryFold(StatefulProcessor):
             if owner is None and self.owners.containsKey((c["event_id"],)):
                 owner = self.owners.getValue((c["event_id"],))[0]
             c["foreign_claim"] = owner is not None and owner != bean
-            c["batch_clash"] = False
+            c["batch_clash"], c["stored_id"], c["stored_part_hash"] = False, None, None
             result = apply_command(beans[bean], c)
             results.append(result)
             if result[0] == REJECTED:
