@@ -302,7 +302,7 @@ fold AS (
         ON c.run_id = f.run_id AND c.sequence = f.sequence AND c.rn = f.rn + 1)))),
 outcomes AS (
   SELECT f.run_id, f.sequence, f.command_seq, c.event_id, f.outcome, f.error_type, f.revision,
-         f.kind, f.status AS bean_status, f.created_ts, f.updated_ts, c.op, c.ts, c.part_id, c.k,
+         f.kind, f.track_ts, f.status AS bean_status, f.created_ts, f.updated_ts, c.op, c.ts, c.part_id, c.k,
          c.cents, f.d_id, f.d_ack
   FROM fold f JOIN cmd c ON c.run_id = f.run_id AND c.sequence = f.sequence AND c.rn = f.rn
   WHERE f.rn > 0),
@@ -537,6 +537,15 @@ def build() -> dict[str, str]:
     sql["events_since"] = folded(
         f"SELECT {_EVENT_COLUMNS} FROM jr WHERE stream_sequence > 100 AND stream_sequence <= 1100"
     )
+    sql["event_records"] = folded(
+        "SELECT j.stream_sequence, j.event_id, j.revision, j.bean_status AS status, j.created_ts AS created_timestamp_ns, "
+        "j.updated_ts AS updated_timestamp_ns, j.track_ts AS track_timestamp_ns, g.enrichments, j.d_id AS decision_id, "
+        "j.d_ack AS acknowledged_timestamp_ns FROM jr j LEFT JOIN (SELECT j.stream_sequence, "
+        "string_agg(e.result_id || '=' || e.value_json, ';' ORDER BY e.registry_revision, e.result_id) AS enrichments "
+        "FROM jr j JOIN enrich_now e ON e.run_id = j.run_id AND e.sequence = j.sequence "
+        "AND e.registry_revision <= j.revision GROUP BY j.stream_sequence) g USING (stream_sequence) "
+        "WHERE j.stream_sequence > 100 AND j.stream_sequence <= 1100"
+    )
     sql["list_active"] = folded(
         "SELECT run_id, sequence, revision, status FROM bean_now "
         "WHERE status IN ('tentative', 'confirmed', 'occluded')"

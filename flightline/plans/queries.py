@@ -468,6 +468,25 @@ def events_since(spark, sf):
     return page.drop("command_fingerprint")
 
 
+@query
+def event_records(spark, sf):
+    """A journal page with the record as each of its events left it, from a stored registry."""
+    items = durable(_items(spark, sf))
+    stored = store.RegistryStore.create(spark, f"{shared_folder(spark)}/flightline-{uuid.uuid4().hex}", buckets=16)
+    stored.apply(items)
+    tables = {name: stored.table(name) for name in (*reg.TABLES, "decision_events")}
+    page = durable(ask.events_since(tables["registry_events"], 100, limit=1_000))
+    r = F.col("record")
+    return ask.event_records(page, tables).select(
+        "stream_sequence", "event_id", r["revision"].alias("revision"), r["status"].alias("status"),
+        r["created_timestamp_ns"].alias("created_timestamp_ns"), r["updated_timestamp_ns"].alias("updated_timestamp_ns"),
+        r["track"]["timestamp_ns"].alias("track_timestamp_ns"),
+        F.array_join(F.transform(r["enrichments"], lambda e: F.concat_ws("=", e["result_id"], e["value_json"])), ";").alias("enrichments"),
+        r["decision"]["decision_id"].alias("decision_id"),
+        r["decision"]["acknowledged_timestamp_ns"].alias("acknowledged_timestamp_ns"),
+    )
+
+
 @query
 def list_active(spark, sf):
     return ask.list_active(reg.beans(_journal(spark, sf))).select(

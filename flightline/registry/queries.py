@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import ACTIVE, STATUSES, TERMINAL
@@ -109,6 +109,84 @@ def events_since(events: DataFrame, after_sequence: int, *, limit: int = 1_000)
     return later.orderBy("stream_sequence").limit(limit)
 
 
+def event_records(page: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``page`` (rows of ``registry_events``) with the bean's record as each event left it.
+
+    The record of an event is an as-of join of every normalised table at the event's revision, made
+    for the beans of the page only: the journal itself holds narrow rows, however long a bean lives
+    and however many enrichments it gathers. ``tables`` also holds ``decision_events``. A page should
+    be bounded, as ``events_since`` makes it. ``record`` has no history of observations.
+    """
+    wanted = page.select(*BEAN).distinct()
+
+    def of(name: str) -> DataFrame:
+        return tables[name].join(wanted, BEAN, "left_semi")
+
+    state = F.struct(
+        "registry_revision", "status", "timestamp_ns", "x_mm", "y_mm", "vx_mm_s", "vy_mm_s",
+        "covariance", "hits", "misses", "last_bbox_px",
+    )
+    moments = (
+        of("registry_events").select(*BEAN, "revision", "stream_sequence", "timestamp_ns")
+        .unionByName(
+            of("track_states").select(*BEAN, F.col("registry_revision").alias("revision"), state.alias("track")),
+            allowMissingColumns=True,
+        )
+        .unionByName(
+            of("decision_events").select(
+                *BEAN, "revision", F.struct("revision", "kind", "timestamp_ns", "decision").alias("step")
+            ),
+            allowMissingColumns=True,
+        )
+    )
+    # A range frame: rows of the same revision count, whatever table they come from.
+    upto = Window.partitionBy(*BEAN).orderBy("revision").rangeBetween(Window.unboundedPreceding, 0)
+
+    def latest(value: Column) -> Column:
+        return F.last(value, ignorenulls=True).over(upto)
+
+    decided = F.when(F.col("step.kind") == "sorting.decision", F.col("step"))
+    acked = F.when(F.col("step.kind") == "sorting.acknowledged", F.col("step"))
+    as_of = moments.select(
+        *BEAN, "revision", "stream_sequence",
+        latest(F.col("track")).alias("track"), latest(decided).alias("d"), latest(acked).alias("a"),
+        F.max("timestamp_ns").over(upto).alias("updated_timestamp_ns"),
+    ).join(page.select("stream_sequence"), "stream_sequence", "left_semi")
+    made = of("beans").select(*BEAN, "created_timestamp_ns")
+    predicted = of("predictions").select(
+        *BEAN, F.col("registry_revision").alias("track_revision"), "prediction"
+    )
+    arrived = of("enrichments").select(
+        *BEAN,
+        F.struct(
+            "registry_revision", "result_id", "source", "kind", "value_json", "timestamp_ns",
+            "model_version", "confidence",
+        ).alias("e"),
+    )
+    gathered = (
+        as_of.select(*BEAN, "revision", "stream_sequence").join(arrived, BEAN)
+        .where(F.col("e.registry_revision") <= F.col("revision"))
+        .groupBy("stream_sequence").agg(F.sort_array(F.collect_list("e")).alias("enrichments"))
+    )
+    since = F.col("a.revision") > F.col("d.revision")
+    ack = F.when(since, F.col("a.timestamp_ns")).otherwise(F.col("d.decision.acknowledged_timestamp_ns"))
+    decision = F.when(
+        F.col("d").isNotNull(), F.col("d.decision").withField("acknowledged_timestamp_ns", ack)
+    )
+    whole = (
+        as_of.withColumn("track_revision", F.col("track.registry_revision"))
+        .join(predicted, [*BEAN, "track_revision"], "left")
+        .join(gathered, "stream_sequence", "left")
+        .join(made, BEAN)
+    )
+    record = F.struct(
+        F.struct(*BEAN).alias("bean_ref"), "revision", F.col("track.status").alias("status"),
+        "created_timestamp_ns", "updated_timestamp_ns", F.col("track").dropFields("registry_revision").alias("track"),
+        "prediction", "enrichments", decision.alias("decision"),
+    )
+    return page.join(whole.select("stream_sequence", record.alias("record")), "stream_sequence")
+
+
 def check_cursor(retained: DataFrame, after_sequence: int) -> None:
     """Raise when events between the cursor and the retained journal are gone."""
     oldest = retained.agg(F.min("stream_sequence")).first()[0]

@@ -118,6 +118,13 @@ def sorting_decisions(journal: DataFrame) -> DataFrame:
     )
 
 
+def decision_events(journal: DataFrame) -> DataFrame:
+    """Every decision and acknowledgement at its revision, from which earlier states follow."""
+    return journal.where(F.col("kind").isin("sorting.decision", "sorting.acknowledged")).select(
+        *BEAN, "revision", "kind", F.col("ts").alias("timestamp_ns"), "decision"
+    )
+
+
 def registry_events(journal: DataFrame) -> DataFrame:
     return journal.select(
         "stream_sequence", "event_id", "kind", *BEAN, "revision",
