@@ -108,6 +108,24 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_observations(spark, sf_dir).drop("truth_no")
 
 
+def pixel_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as a detector gives them: pixels, boxes, areas, solidity and colour."""
+    return labelled_observations(spark, sf_dir).select(
+        "run_id", "frame_index", "cx_px", "cy_px", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px",
+        F.lit(0.95).alias("solidity"), F.lit(60.0).alias("blue"),
+        (F.col("area_px") % 200).cast("double").alias("green"), F.lit(180.0).alias("red"),
+    )
+
+
+def level_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping that ``labelled_observations`` makes its pixels with, for every run."""
+    forward = [SCALE_X, 0.0, CENTRE_X, 0.0, SCALE_Y, CENTRE_Y, 0.0, 0.0, 1.0]
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("run_id"),
+        inverse(F.array(*[F.lit(v) for v in forward])).alias("px_to_mm"),
+    )
+
+
 def ordered_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("run_id", "frame_index").orderBy("y_mm", "x_mm", "truth_no")
     return labelled_observations(spark, sf_dir).withColumn(

@@ -16,6 +16,7 @@ from ..operators import (
     assignment,
     background,
     calibration,
+    chain,
     detection,
     labelled,
     lifecycle,
@@ -557,6 +558,30 @@ def replayed_log(spark, sf):
     return again.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("commands"))
 
 
+@query
+def frames_to_records(spark, sf):
+    """Detections in pixels to records: placed, tracked, predicted, sent frame by frame, folded."""
+    seen = fx.pixel_detections(spark, sf)
+    frames, cameras = fx.timeline(spark, sf), fx.level_calibrations(spark, sf)
+    followed = track(chain.build_observations(seen, frames, cameras), frames, fx.VIEW, SETTINGS)
+    foretold = prediction.predict(followed.snapshots, LAYOUT, SETTINGS)
+    log = chain.frame_commands(chain.track_documents(followed.snapshots, foretold, seen))
+    items = commands.command_items(commands.parse_commands(log))
+    tables = reg.normalise(durable(fold.journal(fold.fold_commands(items))))
+    sent = tables["predictions"].groupBy("run_id", "sequence").agg(
+        F.count(F.lit(1)).alias("predictions"),
+        F.max_by("prediction.crossing_timestamp_ns", "registry_revision").alias("crossing_timestamp_ns"),
+    )
+    newest = F.element_at("history", -1)
+    return ask.records(tables).join(sent, ["run_id", "sequence"], "left").select(
+        "run_id", "sequence", "revision", "status", "created_timestamp_ns", "updated_timestamp_ns",
+        F.col("track.hits").alias("hits"), F.size("history").alias("history"),
+        q(newest["x_mm"], 5).alias("last_x_mm"), newest["mean_bgr"][1].alias("last_green"),
+        F.col("prediction.crossing_timestamp_ns").alias("open_prediction"),
+        F.coalesce("predictions", F.lit(0)).cast("long").alias("predictions"), "crossing_timestamp_ns",
+    )
+
+
 @query
 def audit_counts(spark, sf):
     return reg.audit_counts(reg.normalise(_journal(spark, sf)))
