@@ -137,17 +137,19 @@ gate AS (
 """
 
 _COSTS = f"""
-moved AS (
+moved AS MATERIALIZED (
   SELECT run_id, frame_index + 1 AS frame_index, det_ord AS track, area_px AS last_area,
          x_mm AS px, y_mm + vy*{_DT} + 0.5E0*{_DT}*{_DT}*{_G} AS py,
          p_pos + {_DT}*{_DT}*p_vel + {_SIGMA}*{_SIGMA}*(0.5E0*{_DT}*{_DT})*(0.5E0*{_DT}*{_DT})
            + {_R} AS var
   FROM born),
-pairs AS (
+here AS MATERIALIZED (SELECT run_id, frame_index, det_ord, x_mm, y_mm, area_px FROM seen),
+pairs AS MATERIALIZED (
   SELECT m.run_id, m.frame_index, m.track, s.det_ord AS detection,
          ((s.x_mm-px)*(s.x_mm-px) + (s.y_mm-py)*(s.y_mm-py)) / var AS d2,
          abs(ln(greatest(s.area_px, 1) / greatest(last_area, 1))) * 0.18E0 AS look
-  FROM moved m JOIN seen s USING (run_id, frame_index)),
+  FROM moved m JOIN here s ON s.run_id = m.run_id AND s.frame_index = m.frame_index
+    AND ((s.x_mm-px)*(s.x_mm-px) + (s.y_mm-py)*(s.y_mm-py)) / var <= {_GATE}),
 costs AS (
   SELECT run_id, frame_index, CAST(track AS BIGINT) AS track, CAST(detection AS BIGINT) AS detection,
          d2 / {_GATE} + look AS cost
