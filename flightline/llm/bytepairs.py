@@ -29,7 +29,7 @@ import base64
 import functools
 import itertools
 import zlib
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +143,10 @@ def java_pattern(pattern: str) -> str:
 # --- literal maps -----------------------------------------------------------------------------
 
 
+def _place(key: Column, buckets: int) -> Column:
+    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
 class LiteralMap:
     """A map as a literal column ``table``, and the look-up of a key in it.
 
@@ -150,17 +154,37 @@ class LiteralMap:
     once: bind it with ``let`` and look keys up in what is bound.
     """
 
-    def __init__(self, entries: Mapping[str, str]) -> None:
-        self._buckets = 1 << max(4, (len(entries) // 2).bit_length())
-        filled = [[] for _ in range(self._buckets)]
-        for key, value in entries.items():
-            filled[zlib.crc32(key.encode()) % self._buckets].append(f"{key}{_VALUE}{value}")
-        lines = (_KEY + _KEY.join(found) + _KEY if found else "" for found in filled)
+    def __init__(self, lines: Sequence[str]) -> None:
+        self._buckets = len(lines)
         self.table = F.split(F.lit(_ELEMENT.join(lines)), _ELEMENT)
 
+    @staticmethod
+    def buckets(entries: int) -> int:
+        """Elements for a map of so many entries: a power of two."""
+        return 1 << max(4, (entries // 2).bit_length())
+
+    @classmethod
+    def of(cls, entries: Mapping[str, str]) -> LiteralMap:
+        filled = [[] for _ in range(cls.buckets(len(entries)))]
+        for key, value in entries.items():
+            filled[zlib.crc32(key.encode()) % len(filled)].append(f"{key}{_VALUE}{value}")
+        return cls([_KEY + _KEY.join(found) + _KEY if found else "" for found in filled])
+
+    @classmethod
+    def collected(cls, entries: DataFrame, most: int) -> LiteralMap:
+        """A map of the rows ``key`` and ``value``, at most ``most``; elements are put together by Spark."""
+        lines = [""] * cls.buckets(most)
+        entry = F.concat("key", F.lit(_VALUE), "value")
+        made = entries.groupBy(_place(F.col("key"), len(lines)).alias("at")).agg(
+            F.concat(F.lit(_KEY), F.array_join(F.sort_array(F.collect_list(entry)), _KEY), F.lit(_KEY)).alias("line")
+        )
+        for batch in made.toArrow().to_batches():
+            for at, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines[at] = line
+        return cls(lines)
+
     def get(self, table: Column, key: Column) -> Column:
         """The value of ``key``, null for a key that is not in the map."""
-        at = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self._buckets - 1)).cast("int")
         mark = F.concat(F.lit(_KEY), key, F.lit(_VALUE))
 
         def value(line: Column, mark: Column) -> Column:
@@ -168,7 +192,7 @@ class LiteralMap:
             # Without the mark the whole line comes back.
             return let(tail, lambda rest: F.when(rest != line, F.substring_index(rest, _KEY, 1)))
 
-        return let(F.get(table, at), lambda line: F.when(line != "", value(line, mark)))
+        return let(F.get(table, _place(key, self._buckets)), lambda line: F.when(line != "", value(line, mark)))
 
 
 def literal_list(values: Iterable[str]) -> Column:
@@ -300,10 +324,10 @@ def _maps(path: str) -> tuple[LiteralMap, LiteralMap]:
     """Ranks of pieces, and pairs of bytes that stand side by side in a piece."""
     ranks = _checked(path)
     pairs = sorted({_hex(p[i : i + 2]) for p in ranks for i in range(len(p) - 1)})
-    return LiteralMap({_hex(p): str(r) for p, r in ranks.items()}), LiteralMap(dict.fromkeys(pairs, ""))
+    return LiteralMap.of({_hex(p): str(r) for p, r in ranks.items()}), LiteralMap.of(dict.fromkeys(pairs, ""))
 
 
-def common_words(words: DataFrame, ranks_path: str, most: int = COMMON_WORDS) -> dict[str, str]:
+def common_words(words: DataFrame, ranks_path: str, most: int = COMMON_WORDS) -> LiteralMap:
     """At most ``most`` words (column ``word``) with their ids: all that occur often enough."""
     counted = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     known = counted.filter((F.octet_length("word") <= SHORT_BYTES) & ~F.col("word").rlike("[\\x01-\\x03]"))
@@ -312,10 +336,10 @@ def common_words(words: DataFrame, ranks_path: str, most: int = COMMON_WORDS) ->
     sizes = sorted(((r.step, r.n) for r in known.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     fitting = [at for (at, _), total in zip(sizes, itertools.accumulate(n for _, n in sizes)) if total <= most]
     if not fitting:
-        return {}
+        return LiteralMap.of({})
     common = known.filter(step >= fitting[-1]).select("word").repartition("word")
     ids = Merges.bound(ranks_path, lambda merges: merges.short(F.hex("word")))
-    return {row.word: row.ids for row in common.select("word", ids.alias("ids")).collect()}
+    return LiteralMap.collected(common.select(F.col("word").alias("key"), ids.alias("value")), most)
 
 
 def encode_documents(
@@ -323,7 +347,7 @@ def encode_documents(
 ) -> DataFrame:
     """``df`` with the ids of the text in place of the column ``ids``, an array of integers."""
     split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    common = LiteralMap(common_words(df.select(F.explode(split).alias("word")), ranks_path, most))
+    common = common_words(df.select(F.explode(split).alias("word")), ranks_path, most)
 
     def word_ids(word: Column, table: Column, merges: Merges) -> Column:
         mixed = F.contains(word, F.lit(_KEY))
