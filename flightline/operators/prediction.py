@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import project
 from ..functions.labels import TERMINAL, gate_label
-from ..functions.mathx import erf_values, half_even, norm_cdf_z
+from ..functions.mathx import erf_values, half_even
 from ..settings import FieldOfView, GateLayout, TrackerSettings
 from .kernel import BIRTH_VELOCITY_SIGMA
 
@@ -188,25 +188,27 @@ def predict(
 
 
 def gate_rows(crossed: DataFrame, layout: GateLayout, keep: list[str]) -> DataFrame:
-    """One row per crossing and gate; stays in generated code, unlike the nested form."""
-    radius = layout.gate_count // 2
+    """One row per crossing and gate; probabilities come from one array computation per batch."""
+    edges, radius = np.array(gate_edges(layout)), layout.gate_count // 2
+    narrow = crossed.select(*keep, "x_mean_mm", "x_std_mm")
+    kept = [narrow.schema[name] for name in keep]
+    schema = T.StructType([*kept, *T.StructType.fromDDL("chances array<double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chance = _gate_chances(
+                batch.column("x_mean_mm").to_numpy(), batch.column("x_std_mm").to_numpy(), edges
+            )
+            starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * layout.gate_count)
+            bank = pa.ListArray.from_arrays(starts, pa.array(chance.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], bank], schema.names)
+
     width, centre = F.lit(layout.gate_width_mm), F.lit(layout.centre_x_mm)
-    scale = F.col("x_std_mm") * F.lit(math.sqrt(2.0))
-    exploded = crossed.select(
-        *keep, "x_mean_mm", "x_std_mm",
-        F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("gate_index"),
-    )
-    left = centre + (F.col("gate_index") - F.lit(0.5)) * width
-    right = centre + (F.col("gate_index") + F.lit(0.5)) * width
-    scaled = exploded.select(
-        *keep, "gate_index", left.alias("left_mm"), right.alias("right_mm"),
-        ((left - F.col("x_mean_mm")) / scale).alias("_zl"),
-        ((right - F.col("x_mean_mm")) / scale).alias("_zr"),
-    )
-    mass = norm_cdf_z(F.col("_zr")) - norm_cdf_z(F.col("_zl"))
-    return scaled.select(
-        *keep, "gate_index", "left_mm", "right_mm",
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), mass)).alias("probability"),
+    index = (F.col("_pos") - F.lit(radius)).cast("int")
+    return narrow.mapInArrow(run, schema).select(*keep, F.posexplode("chances").alias("_pos", "probability")).select(
+        *keep, index.alias("gate_index"),
+        (centre + (index - F.lit(0.5)) * width).alias("left_mm"),
+        (centre + (index + F.lit(0.5)) * width).alias("right_mm"), "probability",
     )
 
 

@@ -548,6 +548,7 @@ def build() -> dict[str, str]:
         "AND e.registry_revision <= j.revision GROUP BY j.stream_sequence) g USING (stream_sequence) "
         "WHERE j.stream_sequence > 100 AND j.stream_sequence <= 1100"
     )
+    sql["journal_after_gap"] = folded(f"SELECT {_EVENT_COLUMNS} FROM jr WHERE stream_sequence > 300")
     sql["list_active"] = folded(
         "SELECT run_id, sequence, revision, status FROM bean_now "
         "WHERE status IN ('tentative', 'confirmed', 'occluded')"

@@ -582,6 +582,20 @@ def frames_to_records(spark, sf):
     )
 
 
+@query
+def journal_after_gap(spark, sf):
+    """What a consumer gathers, page by page, from a journal whose first 300 events are gone."""
+    items = durable(_items(spark, sf))
+    folder = f"{shared_folder(spark)}/flightline-{uuid.uuid4().hex}"
+    stored = store.RegistryStore.create(spark, f"{folder}/registry", buckets=16)
+    stored.apply(items)
+    stored.retire(301)
+    store.start_cursor(spark, f"{folder}/cursor", stored.floor() - 1)
+    stored.consume(f"{folder}/cursor", lambda page: page.write.mode("append").parquet(f"{folder}/seen"), limit=5_000)
+    seen = spark.read.schema(reg.EVENT_FIELDS).parquet(f"{folder}/seen").dropDuplicates(["stream_sequence"])
+    return seen.drop("command_fingerprint")
+
+
 @query
 def audit_counts(spark, sf):
     return reg.audit_counts(reg.normalise(_journal(spark, sf)))

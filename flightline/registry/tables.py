@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BEAN = ["run_id", "sequence"]
+EVENT_FIELDS = (
+    "stream_sequence bigint, event_id string, kind string, run_id string, sequence bigint, "
+    "revision bigint, timestamp_ns bigint, command_fingerprint string"
+)
 TRACK_KINDS = ("bean.created", "bean.confirmed", "bean.exited", "bean.cancelled", "track.updated")
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from flightline.plans import fixtures
 from flightline.registry import commands, fold, tables
-from flightline.registry.store import RegistryStore
+from flightline.registry.queries import HistoryGap
+from flightline.registry.store import RegistryStore, start_cursor
 
 OUTCOME = ["command_seq", "item_no", "outcome", "error_type", "revision", "kind", "bean_status", "created_ts", "updated_ts"]
 
 
 def rows(df, columns=None):
-    return sorted(map(tuple, (df if columns is None else df.select(*columns)).collect()), key=repr)
+    found = map(tuple, (df if columns is None else df.select(*columns)).collect())
+    return sorted(found, key=lambda r: (r[0], repr(r)) if isinstance(r[0], int) else repr(r))
 
 
 def plain(df):
@@ -63,7 +65,32 @@ def test_replay_unfinished_version_and_rival_writer(parts, spark):
     assert {r[0] for r in again.select("outcome").distinct().collect()} == {"duplicate"}
     assert store.version() == version + 1 and rows(store.table("beans")) == before
     with pytest.raises(AnalysisException):
-        store._publish(version + 1, [(None, None, None, 0, 4)])
+        store._publish(version + 1, [(None, None, None, 0, 4, 1)])
+
+
+def test_a_cursor_below_the_floor_is_refused_and_a_killed_consumer_ends_equal(parts, spark, tmp_path):
+    _, _, store, _ = parts
+    whole = rows(store.table("registry_events"), ["stream_sequence", "event_id"])
+    store.retire(11)
+    with pytest.raises(HistoryGap):
+        store.events_after(9)
+    with pytest.raises(ValueError, match="after the next event"):
+        store.retire(10**9)
+    assert rows(store.events_after(10, limit=2), ["stream_sequence"]) == [(11,), (12,)]
+    assert store.events_after(len(whole)).count() == 0
+    cursor, seen, calls = str(tmp_path / "cursor"), str(tmp_path / "seen"), []
+
+    def handle(page):
+        page.select("stream_sequence", "event_id").write.mode("append").parquet(seen)
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt  # killed after the page was handled, before the cursor was stored
+
+    start_cursor(spark, cursor, 10)
+    with pytest.raises(KeyboardInterrupt):
+        store.consume(cursor, handle, limit=200)
+    assert store.consume(cursor, handle, limit=200) == len(whole)
+    assert rows(spark.read.parquet(seen).distinct()) == whole[10:]
 
 
 def test_an_empty_part_publishes_an_empty_version(spark, tmp_path):
