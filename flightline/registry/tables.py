@@ -152,15 +152,6 @@ def normalise(journal: DataFrame) -> dict[str, DataFrame]:
     return {name: build(journal) for name, build in TABLES.items()}
 
 
-def write_tables(journal: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write all tables as Parquet, partitioned by a hash bucket of the run."""
-    for name, df in normalise(journal).items():
-        (
-            df.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)))
-            .write.mode("overwrite").partitionBy("run_bucket").parquet(f"{path}/{name}")
-        )
-
-
 def audit_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count of every table."""
     counts = None
