@@ -391,8 +391,10 @@ def track_review(spark, sf):
 
 @query
 def measured_paths(spark, sf):
-    return lifecycle.measured_paths(tracked(spark, sf).snapshots).select(
-        "run_id", "sequence", F.size("path").alias("points"), "drawable"
+    """Every point of every measured path, numbered along the path."""
+    paths = lifecycle.measured_paths(tracked(spark, sf).snapshots)
+    return paths.select("run_id", "sequence", "drawable", F.posexplode("path").alias("point", "p")).select(
+        "run_id", "sequence", "point", "drawable", q("p.x_px", 4).alias("x_px"), q("p.y_px", 4).alias("y_px")
     )
 
 
