@@ -97,7 +97,8 @@ def run_headers(runs: DataFrame, latency: DataFrame) -> DataFrame:
 def export_runs(headers: DataFrame, frames: DataFrame, path: str) -> None:
     """Write each run as a folder ``run_id=...`` holding a header line and sorted frame lines.
 
-    A run stays many tasks and no task builds a whole document; the committer publishes atomically.
+    A run stays many tasks and no task builds a whole document. Runs that are written again replace
+    their own folder; other runs under ``path`` stay.
     """
     lines = headers.select(
         "run_id", F.lit(-1).cast("long").alias("frame_index"), F.col("header").alias("value")
@@ -106,7 +107,8 @@ def export_runs(headers: DataFrame, frames: DataFrame, path: str) -> None:
         lines.repartitionByRange("run_id", "frame_index")
         .sortWithinPartitions("run_id", "frame_index")
         .select("run_id", "value")
-        .write.mode("overwrite").partitionBy("run_id").text(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id").text(path)
     )
 
 

@@ -251,6 +251,11 @@ def test_run_export_writes_header_and_frames(spark):
     export.export_runs(headers, frames, path)
     lines = [r.value for r in spark.read.text(path + "/run_id=r").collect()]
     assert len(lines) == 3 and json.loads(lines[0])["schema"] == export.RUN_SCHEMA
+    # Another run leaves the first one, the same run replaces its own lines.
+    other = headers.withColumn("run_id", F.lit("q"))
+    export.export_runs(other, frames.limit(0), path)
+    export.export_runs(headers, frames.where("frame_index = 0"), path)
+    assert spark.read.text(path + "/run_id=r").count() == 2 and spark.read.text(path + "/run_id=q").count() == 1
 
 
 def test_what_cannot_be_computed_keeps_a_row(spark):
