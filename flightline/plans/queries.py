@@ -499,7 +499,7 @@ def list_active(spark, sf):
 
 @query
 def evicted_records(spark, sf):
-    written = reg.normalise(_journal(spark, sf))
+    written = reg.normalise(durable(_journal(spark, sf)))
     current = ask.records(written, include_history=False)
     _, gone = ask.evict_completed(current, fx.BASE_NS + 5_000_000_000)
     return gone.select("run_id", "sequence", "revision", "status")
@@ -507,7 +507,7 @@ def evicted_records(spark, sf):
 
 @query
 def records_current(spark, sf):
-    written = reg.normalise(_journal(spark, sf))
+    written = reg.normalise(durable(_journal(spark, sf)))
     return ask.records(written).select(
         "run_id", "sequence", "revision", "status", "created_timestamp_ns",
         "updated_timestamp_ns", F.coalesce(F.size("enrichments"), F.lit(0)).alias("enrichments"),
@@ -600,7 +600,7 @@ def journal_after_gap(spark, sf):
 
 @query
 def audit_counts(spark, sf):
-    return reg.audit_counts(reg.normalise(_journal(spark, sf)))
+    return reg.audit_counts(reg.normalise(durable(_journal(spark, sf))))
 
 
 # ---- analytics ----------------------------------------------------------------------------------
