@@ -10,3 +10,8 @@ def plan_of(df):
 def test_calibration_fit_joins_nothing(spark, sf_dir):
     plan = plan_of(QUERIES["fit_quality"](spark, sf_dir))
     assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_timeline_is_not_broadcast(spark, sf_dir):
+    plan = plan_of(QUERIES["timeline_exact_nominal"](spark, sf_dir))
+    assert "SortMergeJoin [run_id" in plan
