@@ -1,6 +1,9 @@
 """Plans and job counts that decide how queries grow with their input."""
 
-from flightline.plans.queries import QUERIES
+from flightline.operators import segments
+from flightline.operators.tracking import Tracking
+from flightline.plans import fixtures as fx
+from flightline.plans.queries import QUERIES, tracked
 
 
 def plan_of(df):
@@ -15,3 +18,20 @@ def test_calibration_fit_joins_nothing(spark, sf_dir):
 def test_timeline_is_not_broadcast(spark, sf_dir):
     plan = plan_of(QUERIES["timeline_exact_nominal"](spark, sf_dir))
     assert "SortMergeJoin [run_id" in plan
+
+
+def test_snapshots_are_numbered_where_they_are(spark, sf_dir):
+    result = tracked(spark, sf_dir)
+    numbered = result.snapshots
+    assert "Exchange hashpartitioning" not in plan_of(numbered)
+    columns = ["run_id", "birth_frame", "birth_ord", "frame_index", "sequence"]
+    ranked = Tracking(result.raw).snapshots.select(*columns)
+    assert numbered.count() > 10_000
+    assert numbered.select(*columns).exceptAll(ranked).isEmpty()
+
+
+def test_segments_move_their_rows_once(spark, sf_dir):
+    rows = segments.assign_segments(fx.observations(spark, sf_dir), fx.timeline(spark, sf_dir), 2)
+    assert rows.collect()
+    final = plan_of(rows).split("Initial Plan")[0]
+    assert "ReusedExchange" in final
