@@ -1,9 +1,14 @@
 """Plans and job counts that decide how queries grow with their input."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from flightline.operators import segments
 from flightline.operators.tracking import Tracking
 from flightline.plans import fixtures as fx
+from flightline.plans.durable import durable
 from flightline.plans.queries import QUERIES, tracked
+from flightline.registry import store, tables as reg
 
 
 def plan_of(df):
@@ -35,3 +40,22 @@ def test_segments_move_their_rows_once(spark, sf_dir):
     assert rows.collect()
     final = plan_of(rows).split("Initial Plan")[0]
     assert "ReusedExchange" in final
+
+
+def test_a_consumer_reads_the_journal_once_for_many_pages(spark, tmp_path, monkeypatch):
+    fields = reg.EVENT_FIELDS
+    schema = fields if isinstance(fields, T.StructType) else T.StructType.fromDDL(fields)
+    columns = [
+        F.col("id").cast("long").alias(f.name) if f.name == "stream_sequence" else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+    stored = store.RegistryStore.create(spark, str(tmp_path / "registry"), buckets=2)
+    written = stored._write("registry_events", spark.range(1, 11).select(*columns), 1, 2)
+    stored._publish(1, [*written, (None, None, None, 10, 2, 1)])
+    copies, pages = [], []
+    monkeypatch.setattr(store, "durable", lambda df: copies.append(1) or durable(df))
+    store.start_cursor(spark, str(tmp_path / "cursor"), 1)
+    top = stored.consume(
+        str(tmp_path / "cursor"), lambda p: pages.append([r[0] for r in p.select("stream_sequence").collect()]), limit=4
+    )
+    assert top == 10 and pages == [[2, 3, 4, 5], [6, 7, 8, 9], [10]] and len(copies) == 1
