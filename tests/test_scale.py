@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightline.operators import segments
+from flightline.operators import chain, segments
 from flightline.operators.tracking import Tracking
 from flightline.plans import fixtures as fx
 from flightline.plans.durable import durable
@@ -59,3 +59,20 @@ def test_a_consumer_reads_the_journal_once_for_many_pages(spark, tmp_path, monke
         str(tmp_path / "cursor"), lambda p: pages.append([r[0] for r in p.select("stream_sequence").collect()]), limit=4
     )
     assert top == 10 and pages == [[2, 3, 4, 5], [6, 7, 8, 9], [10]] and len(copies) == 1
+
+
+def test_frame_commands_are_numbered_where_they_are(spark):
+    rows = spark.range(400).selectExpr(
+        "CAST(id % 20 AS STRING) run_id", "id div 20 frame_index", "0 row_ord", "1L sequence", "id track",
+        "CAST(NULL AS STRING) prediction", "CAST(id AS STRING) event_id",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = chain.frame_commands(rows).select(
+            "command_seq", F.get_json_object("value", "$.request_id").alias("request"), F.spark_partition_id().alias("task")
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in log}) > 1
+    order = sorted((f, str(r)) for f in range(20) for r in range(20))
+    assert [r.request for r in sorted(log)] == [f"frame:{run}:{frame}" for frame, run in order]
