@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import half_even
 from ..functions.prefix import block_of
-from ..functions.spread import spread
+from ..functions.spread import image_tasks, spread
 from ..settings import DetectorSettings
 from . import imaging
 
 BLOCK_FRAMES = 64
+# Results leave a task whenever this many bytes of frames were read: a stage set is six times its frame.
+FLUSH_BYTES = 4 << 20
 COMPONENT_SCHEMA = (
     "run_id string, frame_index bigint, component int, x int, y int, width int, height int, "
     "area bigint, cx double, cy double, solidity double, blue double, green double, red double, "
@@ -168,8 +170,14 @@ def _job(settings: DetectorSettings, produce, ddl: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, owner = _Segmenter(settings), None
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
+            )
+
         for batch in batches:
-            out = []
+            out, read = [], 0
             names = ("run_id", "_block", "frame_index", "height", "width", "bgr")
             columns = [batch.column(n) for n in names]
             for i in range(batch.num_rows):
@@ -182,10 +190,12 @@ def _job(settings: DetectorSettings, produce, ddl: str):
                     segmenter.load_background(image)
                 else:
                     out += produce(segmenter, run_id, frame_index, image)
+                    read += 0 if data is None else len(data)
+                if out and read >= FLUSH_BYTES:
+                    yield packed(out)
+                    out, read = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema
-                )
+                yield packed(out)
 
     return run
 
@@ -196,7 +206,8 @@ def _with_background(frames: DataFrame, backgrounds: DataFrame, block_frames: in
     wanted = blocked.select("run_id", "_block").distinct()
     copies = backgrounds.join(wanted, "run_id").withColumn("frame_index", F.lit(-1).cast("long"))
     rows = blocked.select(*columns).unionByName(copies.select(*columns))
-    return spread(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "frame_index")
+    placed = spread(rows, "run_id", "_block", least=image_tasks(frames))
+    return placed.sortWithinPartitions("run_id", "_block", "frame_index")
 
 
 def detect_components(

@@ -1,9 +1,10 @@
 """Plans and job counts that decide how queries grow with their input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightline.operators import chain, segments
+from flightline.operators import chain, detection, segments
 from flightline.operators.tracking import Tracking
 from flightline.plans import fixtures as fx
 from flightline.plans.durable import durable
@@ -76,3 +77,20 @@ def test_frame_commands_are_numbered_where_they_are(spark):
     assert len({r.task for r in log}) > 1
     order = sorted((f, str(r)) for f in range(20) for r in range(20))
     assert [r.request for r in sorted(log)] == [f"frame:{run}:{frame}" for frame, run in order]
+
+
+def test_stage_images_leave_the_task_in_small_batches():
+    frame = bytes(64 * 96 * 3)
+    rows = [("r", 0, i, 96, 64, frame) for i in range(-1, 600)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in zip(*rows)], names=["run_id", "_block", "frame_index", "height", "width", "bgr"]
+    )
+    job = detection._job(detection.DetectorSettings(), detection._stage_rows, detection.STAGE_SCHEMA)
+    sizes = [(b.num_rows, b.nbytes) for b in job(iter([batch]))]
+    assert sum(n for n, _ in sizes) == 6_000 and max(size for _, size in sizes) < 32 << 20
+
+
+def test_observations_are_ordered_where_their_items_are(spark, sf_dir):
+    plan = plan_of(fx.ordered_observations(spark, sf_dir))
+    (moved,) = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "frame_block" in moved and "frame_index" not in moved
