@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import DEFAULT_BLOCK, block_of
 from ..functions.spread import spread
-from ..sources.recordings import explode_range
 
 TILE_ROWS = 64
 METHODS = ("temporary first frame", "single frame", "stratified median")
@@ -26,25 +26,32 @@ def stratified_candidates(
     if target <= 0 or per_stratum <= 0:
         raise ValueError("target and candidates per stratum must be positive")
     strata = F.least(F.col("frame_count"), F.lit(target)).cast("long")
-    spread = recordings.where(F.col("frame_count") > 0).select(
-        "run_id", "frame_count", strata.alias("strata"), F.lit(0).cast("long").alias("_zero")
-    )
-    frames = explode_range(spread, "_zero", F.col("frame_count") - 1, "frame_index")
-    # Largest s with s * n / S <= frame: the inverse of the stratum bounds, in integers.
-    stratum = F.floor(
-        ((F.col("frame_index") + 1) * F.col("strata") - 1) / F.col("frame_count")
-    ).cast("long")
-    drawn = frames.withColumn("stratum", stratum).withColumn(
-        "_draw", F.xxhash64(F.lit(seed), "run_id", "frame_index")
-    )
-    # Keep only the lowest draws per frame slice first, so a long stratum is not ranked in one task.
-    part = F.floor(F.col("frame_index") / 65_536).alias("_part")
-    local = Window.partitionBy("run_id", "stratum", "_part").orderBy("_draw", "frame_index")
+    slices = recordings.where(F.col("frame_count") > 0).select("run_id", "frame_count", strata.alias("strata")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strata") - 1)).alias("stratum")
+    )
+    # Stratum s of S takes the frames s * n / S .. (s + 1) * n / S - 1, in integers.
+    ranges = slices.select(
+        "run_id", "stratum", F.expr("stratum * frame_count div strata").alias("_from"),
+        F.expr("(stratum + 1) * frame_count div strata - 1").alias("_to"),
+    )
+    parts = spread(
+        ranges.select(
+            "*", F.explode(F.sequence(block_of(F.col("_from"), DEFAULT_BLOCK), block_of(F.col("_to"), DEFAULT_BLOCK))).alias("_part")
+        ),
+        "run_id", "stratum", "_part",
+    )
+    # A row draws for its own frames and hands on the lowest: frames are neither moved nor sorted as rows.
+    frames = F.sequence(
+        F.greatest(F.col("_from"), F.col("_part") * DEFAULT_BLOCK),
+        F.least(F.col("_to"), (F.col("_part") + 1) * DEFAULT_BLOCK - 1),
+    )
+    draws = F.transform(
+        frames, lambda f: F.struct(F.xxhash64(F.lit(seed), F.col("run_id"), f).alias("_draw"), f.alias("frame_index"))
+    )
+    lowest = F.slice(F.sort_array(draws), 1, per_stratum)
     whole = Window.partitionBy("run_id", "stratum").orderBy("_draw", "frame_index")
     return (
-        drawn.select("*", part)
-        .withColumn("_local", F.row_number().over(local))
-        .where(F.col("_local") <= per_stratum)
+        parts.select("run_id", "stratum", F.inline(lowest))
         .withColumn("pass_no", (F.row_number().over(whole) - 1).cast("int"))
         .where(F.col("pass_no") < per_stratum)
         .select("run_id", "pass_no", "stratum", "frame_index")
