@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import DEFAULT_BLOCK, block_of
-from ..functions.spread import spread
+from ..functions.spread import image_tasks, spread
 
 TILE_ROWS = 64
 METHODS = ("temporary first frame", "single frame", "stratified median")
@@ -150,7 +150,7 @@ def temporal_median(selected: DataFrame) -> DataFrame:
         F.col("width").cast("int").alias("width"), "_t.data",
     )
     medians = (
-        spread(cut, "run_id", "tile")
+        spread(cut, "run_id", "tile", least=image_tasks(selected))
         .sortWithinPartitions("run_id", "tile", "height", "width")
         .mapInArrow(
             _median_rows, "run_id string, tile int, height int, width int, data binary"
