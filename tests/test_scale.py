@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightline.operators import chain, detection, segments
+from flightline.operators import background, chain, detection, segments
 from flightline.operators.tracking import Tracking
 from flightline.plans import fixtures as fx
 from flightline.plans.durable import durable
@@ -94,3 +94,15 @@ def test_observations_are_ordered_where_their_items_are(spark, sf_dir):
     plan = plan_of(fx.ordered_observations(spark, sf_dir))
     (moved,) = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert "frame_block" in moved and "frame_index" not in moved
+
+
+def test_draws_of_a_long_stratum_equal_a_plain_ranking(spark):
+    runs = spark.createDataFrame([("long", 200_000), ("short", 3)], "run_id string, frame_count bigint")
+    drawn = background.stratified_candidates(runs, 2, seed=7)
+    assert plan_of(drawn).count("Window [row_number") == 1
+    found = {(r.run_id, r.stratum, r.pass_no): r.frame_index for r in drawn.collect()}
+    hashed = spark.range(200_000).select("id", F.xxhash64(F.lit(7), F.lit("long"), "id").alias("h"))
+    for stratum in (0, 1):
+        half = hashed.where(F.floor(F.col("id") / 100_000) == stratum).orderBy("h").limit(4)
+        assert [r.id for r in half.collect()] == [found["long", stratum, p] for p in range(4)]
+    assert sorted(f for (run, *_), f in found.items() if run == "short") == [0, 1, 2]
