@@ -5,7 +5,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from flightline.plans import fixtures
-from flightline.registry import commands, fold, tables
+from flightline.plans.durable import durable
+from flightline.registry import commands, fold, store as stored, tables
 from flightline.registry.queries import HistoryGap
 from flightline.registry.store import RegistryStore, start_cursor
 
@@ -98,3 +99,19 @@ def test_an_empty_part_publishes_an_empty_version(spark, tmp_path):
     store = RegistryStore.create(spark, str(tmp_path), buckets=2)
     assert store.apply(commands.command_items(commands.parse_commands(log))).count() == 0
     assert store.version() == 1 and store.table("beans").count() == 0
+
+
+def test_a_version_writes_payloads_once_beside_its_input(spark, sf_dir, tmp_path, monkeypatch):
+    log = fixtures.command_log(spark, sf_dir).where("command_seq < 300")
+    items = durable(commands.command_items(commands.parse_commands(log)))
+    written = []
+    for module in (stored, fold):
+        monkeypatch.setattr(module, "durable", lambda df: written.append("track" in df.columns) or durable(df))
+    registry = RegistryStore.create(spark, str(tmp_path / "registry"), buckets=2)
+    given = registry.apply(items)
+    assert written.count(True) == 2
+    written.clear()
+    again = registry.apply(items, reread=True)
+    assert written.count(True) == 1
+    assert given.columns == again.columns == fold.fold_commands(items).columns
+    assert given.count() == again.count() == items.count()
