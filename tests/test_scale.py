@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightline.operators import background, chain, detection, segments
-from flightline.operators.tracking import Tracking
+from flightline.operators.tracking import Tracking, track
 from flightline.plans import fixtures as fx
 from flightline.plans.durable import durable
 from flightline.plans.queries import QUERIES, tracked
@@ -106,3 +106,12 @@ def test_draws_of_a_long_stratum_equal_a_plain_ranking(spark):
         half = hashed.where(F.floor(F.col("id") / 100_000) == stratum).orderBy("h").limit(4)
         assert [r.id for r in half.collect()] == [found["long", stratum, p] for p in range(4)]
     assert sorted(f for (run, *_), f in found.items() if run == "short") == [0, 1, 2]
+
+
+def test_the_kernel_puts_out_only_the_columns_asked_for(spark, sf_dir):
+    wanted = ["run_id", "row_kind", "frame_index", "det_ord", "obs_y_mm"]
+    seen, frames = fx.observed_timeline(spark, sf_dir)
+    thin = track(seen, frames, fx.VIEW, materialise=False, columns=wanted).raw
+    assert thin.columns == wanted
+    whole = tracked(spark, sf_dir).raw.select(*wanted)
+    assert durable(thin).exceptAll(whole).isEmpty() and thin.count() == whole.count() > 10_000
