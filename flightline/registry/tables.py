@@ -83,6 +83,15 @@ def enrichments(journal: DataFrame) -> DataFrame:
     )
 
 
+def first_enrichments(journal: DataFrame) -> DataFrame:
+    """The first accepted enrichment of every result id, whichever bean it came to."""
+    added = journal.where(F.col("kind") == "enrichment.added").select("stream_sequence", *BEAN, "revision", "kind", "enrichment")
+    first = added.groupBy(F.col("enrichment.result_id").alias("_id")).agg(
+        F.min(F.struct("stream_sequence", *BEAN, "revision", "kind", "enrichment")).alias("_first")
+    )
+    return enrichments(first.select("_first.*"))
+
+
 def sorting_decisions(journal: DataFrame) -> DataFrame:
     """One row per bean and decision_id: first content, then only revision and acknowledgement move.
 
